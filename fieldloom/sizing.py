@@ -1,0 +1,17 @@
+"""Size checks that decide between a replicated and a shuffled side."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 50_000
+MAX_BYTES = 32 * 1024 * 1024
+
+
+def fits_broadcast(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> bool:
+    """Measure a would-be small side; reads at most ``max_rows + 1`` of its rows."""
+    size = df.limit(max_rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")
+    ).first()
+    return size["n"] <= max_rows and size["b"] <= max_bytes
