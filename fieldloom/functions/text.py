@@ -73,6 +73,14 @@ def group1(c: Column | str, pattern: str, group: int = 1) -> Column:
     return F.when(c.rlike(pattern), F.regexp_extract(c, pattern, group))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often ``body`` uses it.
+
+    Expressions used inside a lambda are otherwise evaluated anew for every element.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 # --------------------------------------------------------------------------- match offsets
 _BLOCK = 64
 
@@ -95,49 +103,63 @@ def running_offsets(xs: Column) -> Column:
 
     Works in blocks, so that a text with n matches costs about n*64 steps instead of n*n.
     """
-    last_block = F.floor((F.size(xs) - 1) / _BLOCK).cast("int")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.greatest(last_block, F.lit(0))),
-        lambda b: F.slice(xs, b * _BLOCK + 1, _BLOCK),
-    )
-    totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
-    return F.flatten(
-        F.zip_with(
-            F.transform(blocks, _exclusive_sums),
+    def in_blocks(values: Column) -> Column:
+        last = F.greatest(F.floor((F.size(values) - 1) / _BLOCK).cast("int"), F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * _BLOCK + 1, _BLOCK))
+
+    def offsets(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        return F.flatten(F.zip_with(
+            F.transform(blocks, lambda b: _exclusive_sums(b)),
             _exclusive_sums(totals),
             lambda block, base: F.transform(block, lambda x: x + base),
-        )
-    )
+        ))
+
+    return let(xs, lambda values: let(in_blocks(values), offsets))
 
 
-def match_spans(text: Column | str, pattern: Column | str, groups: dict[str, int] | None = None) -> Column:
+def _group_reader(pattern: str, index: int, tail: str):
+    def read(hit: Column) -> Column:
+        return F.regexp_extract(F.concat(hit, F.lit(tail)) if tail else hit, pattern, index)
+
+    return read
+
+
+def match_spans(
+    text: Column | str, pattern: Column | str, groups: dict[str, int] | None = None, tail: str = ""
+) -> Column:
     """All matches of ``pattern`` as ``array<struct<start, hit, *groups>>``.
 
     ``start`` counts characters from zero. The gaps between matches come from ``split``, the
-    matches from ``regexp_extract_all``; both walk the same matcher, so they interleave.
+    matches from ``regexp_extract_all``; both walk the same matcher, so they interleave. Groups
+    are read from the short matches, not from the text again; ``tail`` is what a trailing
+    lookahead of the pattern has to see after the match.
     """
     text = as_col(text)
+    pattern_text = pattern
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    groups = groups or {}
-    hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g))
-    gaps = F.slice(gaps, 1, F.size(hits))
-    steps = F.zip_with(gaps, hits, lambda g, h: g + F.length(h))
-    starts = F.zip_with(running_offsets(steps), gaps, lambda o, g: o + g)
-    named = {"start": starts, "hit": hits}
-    for name, index in groups.items():
-        named[name] = F.regexp_extract_all(text, pattern, F.lit(index))
-    return F.arrays_zip(*[col.alias(name) for name, col in named.items()])
+
+    def with_starts(hits: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)), F.lit(1), F.size(hits))
+        starts = let(gaps, lambda g: F.zip_with(
+            running_offsets(F.zip_with(g, hits, lambda x, h: x + F.length(h))), g, lambda o, x: o + x
+        ))
+        named = {"start": starts, "hit": hits}
+        for name, index in (groups or {}).items():
+            named[name] = F.transform(hits, _group_reader(pattern_text, index, tail))
+        return F.arrays_zip(*[col.alias(name) for name, col in named.items()])
+
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), with_starts)
 
 
 def last_match_start(text: Column, pattern: str) -> Column:
     """Offset of the last match, -1 when there is none."""
-    gaps = F.split(text, pattern, -1)
-    last_hit = F.try_element_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.lit(-1))
-    tail = F.try_element_at(gaps, F.lit(-1))
-    return F.when(last_hit.isNull(), F.lit(-1)).otherwise(
-        F.length(text) - F.length(tail) - F.length(last_hit)
-    )
+    def from_hits(t: Column, hits: Column) -> Column:
+        tail = F.length(F.try_element_at(F.split(t, pattern, -1), F.lit(-1)))
+        last_hit = F.length(F.try_element_at(hits, F.lit(-1)))
+        return F.when(F.size(hits) == 0, F.lit(-1)).otherwise(F.length(t) - tail - last_hit)
+
+    return let(text, lambda t: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda h: from_hits(t, h)))
 
 
 def words(c: Column | str, min_len: int = 3) -> Column:

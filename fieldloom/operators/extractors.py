@@ -12,17 +12,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import patterns as P
-from fieldloom.functions.text import clip, group1, last_match_start, match_spans, span, squash, strip
+from fieldloom.functions.text import clip, group1, last_match_start, let, match_spans, span, squash, strip
 from fieldloom.operators.pages import marker_array, page_at
 
 MATCH = (
-    "array<struct<source:string,key:string,rank:int,pos:int,page:int,table_title:string,"
-    "row_label:string,col_label:string,value:string,snippet_h:string,snippet_v:string>>"
+    "array<struct<source:string,rank:int,pos:int,page:int,table_title:string,row_label:string,"
+    "col_label:string,value:string,suffix:string>>"
 )
-MATCH_COLUMNS = [
-    "source", "key", "rank", "pos", "page", "table_title", "row_label", "col_label", "value",
-    "snippet_h", "snippet_v",
-]
+MATCH_COLUMNS = ["source", "rank", "pos", "page", "table_title", "row_label", "col_label", "value"]
+# Families in which every match counts; in the others the first of equal values wins.
+REPEATED = ["signer", "id"]
 
 
 def matches(text: Column, pattern: str, groups: dict[str, int], to_row) -> Column:
@@ -31,21 +30,14 @@ def matches(text: Column, pattern: str, groups: dict[str, int], to_row) -> Colum
     return F.when(text.rlike(pattern), found)
 
 
-def _row(source: str, rank: int, pos, page, title, row, col, value, key=None, head=None) -> Column:
-    """One match. ``key`` identifies it for first-wins; without one every match stands alone.
-
-    ``head`` replaces the leading part of both snippets.
-    """
+def _row(source: str, rank: int, pos, page, title, row, col, value, suffix=None) -> Column:
+    """One match. ``suffix`` is added to the value after equal values have been merged."""
     title, row, col = [F.lit(c) if isinstance(c, str) else c for c in (title, row, col)]
-    tail = F.concat(F.lit("value: "), value)
-    snippet_h = F.concat_ws(" | ", *(head[0] if head else (title, row, col)), tail)
-    snippet_v = F.concat_ws(" | ", *(head[1] if head else (title, col, row)), tail)
-    alone = F.concat_ws(":", F.lit(str(rank)), pos.cast("string"))
     return F.struct(
-        F.lit(source).alias("source"), (alone if key is None else key).alias("key"),
-        F.lit(rank).alias("rank"), pos.cast("int").alias("pos"), page.cast("int").alias("page"),
-        title.alias("table_title"), row.alias("row_label"), col.alias("col_label"),
-        value.alias("value"), snippet_h.alias("snippet_h"), snippet_v.alias("snippet_v"),
+        F.lit(source).alias("source"), F.lit(rank).alias("rank"), pos.cast("int").alias("pos"),
+        page.cast("int").alias("page"), title.alias("table_title"), row.alias("row_label"),
+        col.alias("col_label"), value.alias("value"),
+        (F.lit(None).cast("string") if suffix is None else suffix).alias("suffix"),
     )
 
 
@@ -62,10 +54,8 @@ def _page(markers: Column, pos: Column) -> Column:
 def date_matches(text: Column, markers: Column) -> Column:
     def of(pattern: str, rank: int) -> Column:
         def to_row(m: Column) -> Column:
-            v = strip(m["v"])
-            name, kind = F.lit("Agreement Date"), F.lit("effective date")
-            return _row("date", rank, m["start"], _page(markers, m["start"]), "Document Metadata", name, kind, v,
-                        key=v, head=((name, v, kind), (name, kind, v)))
+            return _row("date", rank, m["start"], _page(markers, m["start"]), "Document Metadata", "Agreement Date",
+                        "effective date", strip(m["v"]))
         return matches(text, pattern, {"v": 1}, to_row)
 
     return _joined(*[of(p, i) for i, p in enumerate(P.AGREEMENT_DATES)])
@@ -73,13 +63,12 @@ def date_matches(text: Column, markers: Column) -> Column:
 
 def party_matches(text: Column, markers: Column) -> Column:
     def named(m: Column) -> Column:
-        name = squash(m["name"])
-        return _row("party", 0, m["start"], _page(markers, m["start"]), "Parties", strip(m["role"]), "name", name, key=name)
+        return _row("party", 0, m["start"], _page(markers, m["start"]), "Parties", strip(m["role"]), "name",
+                    squash(m["name"]))
 
     def paired(group: str, role: str, rank: int):
         def to_row(m: Column) -> Column:
-            name = squash(m[group])
-            return _row("party", rank, m["start"], _page(markers, m["start"]), "Parties", role, "name", name, key=name)
+            return _row("party", rank, m["start"], _page(markers, m["start"]), "Parties", role, "name", squash(m[group]))
         return to_row
 
     def of_first_pair(to_row) -> Column:
@@ -98,25 +87,25 @@ def _amount_value(m: Column) -> Column:
 
 def amount_matches(text: Column, markers: Column) -> Column:
     def to_row(m: Column) -> Column:
-        v = _amount_value(m)
         return _row("amount", 0, m["start"], _page(markers, m["start"]), "Loan Terms", "Loan Amount",
-                    F.upper(m["code"]), v, key=v)
+                    F.upper(m["code"]), _amount_value(m))
     return _joined(matches(text, P.AMOUNT, {"code": 1, "number": 2}, to_row))
 
 
 def currency_matches(text: Column, markers: Column) -> Column:
     def to_row(m: Column) -> Column:
-        v = F.upper(m["code"])
         return _row("currency", 0, m["start"], _page(markers, m["start"]), "Loan Terms", "Loan Principal Currency",
-                    "principal denomination currency code", v, key=v)
+                    "principal denomination currency code", F.upper(m["code"]))
     return _joined(matches(text, P.AMOUNT, {"code": 1}, to_row))
 
 
 def nearest_side(text: Column, pos: Column) -> Column:
     """Which party's marker comes last within the look-back window; Borrower by default."""
     begin = F.greatest(pos - P.PARTY_LOOKBACK, F.lit(0))
-    context = span(text, begin, pos - begin)
-    bank_later = last_match_start(context, P.BANK_SIDE) > last_match_start(context, P.BORROWER_SIDE)
+    bank_later = let(
+        span(text, begin, pos - begin),
+        lambda context: last_match_start(context, P.BANK_SIDE) > last_match_start(context, P.BORROWER_SIDE),
+    )
     return F.when(bank_later, "Bank").otherwise("Borrower")
 
 
@@ -134,13 +123,12 @@ def signer_matches(text: Column, markers: Column) -> Column:
 def program_matches(text: Column, markers: Column) -> Column:
     def of(pattern: str, rank: int) -> Column:
         def to_row(m: Column) -> Column:
-            name = squash(m["v"])
             after = span(text, m["start"] + F.length(m["hit"]) - 1, F.lit(41))
             suffix = F.coalesce(strip(group1(after, P.PROGRAM_SUFFIX, 0)), F.lit("Program"))
             return _row("program", rank, m["start"], _page(markers, m["start"]), "Document Metadata",
-                        "Program Name", "title", F.concat(name, F.lit(" "), suffix), key=F.lower(name))
+                        "Program Name", "title", squash(m["v"]), suffix)
         found = matches(text, pattern, {"v": 1}, to_row)
-        return F.filter(found, lambda r: (F.length(r["key"]) >= 5) & r["value"].rlike(r"^\p{Lu}"))
+        return F.filter(found, lambda r: (F.length(r["value"]) >= 5) & r["value"].rlike(r"^\p{Lu}"))
 
     return _joined(*[of(p, i) for i, p in enumerate(P.PROGRAMS)])
 
@@ -160,16 +148,40 @@ FAMILIES = {
 def text_matches(docs: DataFrame, families: list[str] | None = None) -> DataFrame:
     """All matches of the chosen families in one pass, first occurrence per document and key."""
     chosen = [FAMILIES[f] for f in (families or FAMILIES)]
-    marked = docs.select("doc_id", "text", marker_array("text", P.LOOSE_PAGE_MARKER).alias("markers"))
-    found = F.concat(*[family(F.col("text"), F.col("markers")) for family in chosen])
-    rows = marked.select("doc_id", F.inline(found))
-    rest = [c for c in MATCH_COLUMNS if c not in ("source", "key")]
-    first = F.min_by(F.struct(*rest), F.struct("rank", "pos")).alias("m")
-    return rows.groupBy("doc_id", "source", "key").agg(first).select(
-        "doc_id", "source", *[F.col(f"m.{c}").alias(c) for c in rest]
+    found = let(
+        marker_array("text", P.LOOSE_PAGE_MARKER),
+        lambda markers: F.concat(*[family(F.col("text"), markers) for family in chosen]),
+    )
+    rows = docs.select("doc_id", F.inline(found))
+    key = (
+        F.when(F.col("source").isin(REPEATED), F.concat_ws(":", "rank", "pos"))
+        .when(F.col("source") == "program", F.lower("value"))
+        .otherwise(F.col("value"))
+    )
+    rest = [c for c in MATCH_COLUMNS if c != "source"]
+    first = F.min_by(F.struct(*rest, "suffix"), F.struct("rank", "pos")).alias("m")
+    return rows.groupBy("doc_id", "source", key.alias("key")).agg(first).select(
+        "doc_id", "source", *[F.col(f"m.{c}").alias(c) for c in rest if c != "value"],
+        F.concat_ws(" ", "m.value", "m.suffix").alias("value"),
     )
 
 
+def snippet_columns(rows: DataFrame) -> DataFrame:
+    """Texts for search: each value read along its row and along its column.
+
+    A date stands in the middle of its own snippet, under its name instead of the title.
+    """
+    dated = F.col("source") == "date"
+    title, row, col, value = F.col("table_title"), F.col("row_label"), F.col("col_label"), F.col("value")
+    first = F.when(dated, row).otherwise(title)
+    label = F.when(dated, value).otherwise(row)
+    tail = F.concat(F.lit("value: "), value)
+    return rows.withColumns({
+        "snippet_h": F.concat_ws(" | ", first, label, col, tail),
+        "snippet_v": F.concat_ws(" | ", first, col, label, tail),
+    })
+
+
 def extract_dates(docs: DataFrame) -> DataFrame:
     return text_matches(docs, ["date"]).select("doc_id", "value", "rank", "pos", "page")
 
@@ -216,7 +228,7 @@ def extract_ids(docs: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ definitions, covenants
 def find_all(
     docs: DataFrame, pattern: str, groups: dict[str, int] | None = None, marker: str = P.LOOSE_PAGE_MARKER,
-    default_page: int | None = None, by: str = "start", keep_text: bool = False,
+    default_page: int | None = None, by: str = "start", keep_text: bool = False, tail: str = "",
 ) -> DataFrame:
     """One row per match of any pattern: ``doc_id, pos, hit, *groups, page``.
 
@@ -224,7 +236,7 @@ def find_all(
     """
     found = docs.filter(F.col("text").rlike(pattern)).select(
         "doc_id", *(["text"] if keep_text else []),
-        marker_array("text", marker).alias("markers"), match_spans("text", pattern, groups).alias("found"),
+        marker_array("text", marker).alias("markers"), match_spans("text", pattern, groups, tail).alias("found"),
     ).withColumn("m", F.explode("found"))
     return found.select(
         "doc_id", *(["text"] if keep_text else []),
@@ -277,7 +289,7 @@ def covenant_period(context: Column) -> Column:
 def extract_covenants(docs: DataFrame) -> DataFrame:
     found = find_all(
         docs, P.COVENANT, {"name": 1, "bound": 2},
-        marker=P.ANY_PAGE_LABEL, default_page=1, by="stop", keep_text=True,
+        marker=P.ANY_PAGE_LABEL, default_page=1, by="stop", keep_text=True, tail=".",
     )
     begin = F.greatest(F.col("pos") - P.COVENANT_LOOKBACK, F.lit(0))
     context = span(F.col("text"), begin, F.col("pos") + F.length("hit") - begin)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import patterns as P
-from fieldloom.functions.text import as_col, clip, count_char, match_spans, span, strip
+from fieldloom.functions.text import as_col, clip, count_char, let, match_spans, span, strip
 
 PAGES = "array<struct<page:int,text:string>>"
 
@@ -23,26 +23,27 @@ def page_array(text: Column | str, marker: str = P.PAGE_MARKER) -> Column:
     A repeated page number keeps its first position and its last text.
     """
     text = as_col(text)
-    numbers = F.regexp_extract_all(text, F.lit(marker), F.lit(1))
-    bodies = F.slice(F.split(text, marker, -1), F.lit(2), F.size(numbers))
-    pages = F.zip_with(
-        numbers,
-        bodies,
-        lambda n, body: F.struct(n.try_cast("int").alias("page"), strip(body).alias("text")),
-    )
-    distinct = F.array_distinct(numbers)
-    last_wins = F.transform(
-        distinct,
-        lambda n: F.try_element_at(
-            F.filter(pages, lambda p: p["page"] == n.try_cast("int")), F.lit(-1)
-        ),
-    )
     whole = F.array(F.struct(F.lit(1).alias("page"), text.alias("text")))
-    return (
-        F.when(F.size(numbers) == 0, whole)
-        .when(F.size(distinct) < F.size(numbers), last_wins)
-        .otherwise(pages)
-    )
+
+    def last_wins(pages: Column, distinct: Column) -> Column:
+        return F.transform(distinct, lambda n: F.try_element_at(F.filter(pages, lambda p: p["page"] == n), F.lit(-1)))
+
+    def unique(pages: Column) -> Column:
+        return let(F.array_distinct(pages["page"]), lambda distinct: F.when(
+            F.size(distinct) < F.size(pages), last_wins(pages, distinct)).otherwise(pages))
+
+    return F.when(text.rlike(marker), let(_marked_pages(text, marker), unique)).otherwise(whole)
+
+
+def _marked_pages(text: Column, marker: str) -> Column:
+    """Pages as marked, repeats included; empty without a marker."""
+    def cut(numbers: Column) -> Column:
+        bodies = F.slice(F.split(text, marker, -1), F.lit(2), F.size(numbers))
+        return F.zip_with(
+            numbers, bodies, lambda n, body: F.struct(n.try_cast("int").alias("page"), strip(body).alias("text"))
+        )
+
+    return let(F.regexp_extract_all(text, F.lit(marker), F.lit(1)), cut)
 
 
 def with_pages(docs: DataFrame, marker: str = P.PAGE_MARKER, text: str = "text") -> DataFrame:
@@ -83,14 +84,11 @@ def page_of_position(
     by: str = "start",
 ) -> DataFrame:
     """Look up the page of every offset in the array column ``positions``."""
-    marked = docs.withColumn("markers", marker_array("text", marker)).withColumn("positions", positions)
-    looked_up = F.transform(
-        F.col("positions"),
-        lambda at: F.struct(
-            at.cast("int").alias("position"), page_at(F.col("markers"), at, default, by).alias("page")
-        ),
-    )
-    return marked.select("doc_id", F.inline(looked_up))
+    looked_up = let(marker_array("text", marker), lambda markers: F.transform(
+        positions,
+        lambda at: F.struct(at.cast("int").alias("position"), page_at(markers, at, default, by).alias("page")),
+    ))
+    return docs.select("doc_id", F.inline(looked_up))
 
 
 # ------------------------------------------------------------------------------- summaries
@@ -125,19 +123,18 @@ def router_summary(
 ) -> DataFrame:
     """Shorter summary: the first pages only, each preview starting at its marker."""
     text = F.col("text")
-    markers = F.col("markers")
-    firsts = F.slice(markers, 1, max_pages)
 
-    def line(m: Column, i: Column) -> Column:
-        following = F.get(markers, i + 1)["start"]
-        body = span(text, m["start"], F.coalesce(following, F.length(text)) - m["start"])
-        preview = F.replace(clip(strip(body), max_chars), F.lit("\n"), F.lit(" "))
-        return F.concat(F.lit("[Page "), m["page"].cast("string"), F.lit("] "), preview)
+    def lines(markers: Column) -> Column:
+        def line(m: Column, i: Column) -> Column:
+            following = F.get(markers, i + 1)["start"]
+            body = span(text, m["start"], F.coalesce(following, F.length(text)) - m["start"])
+            preview = F.replace(clip(strip(body), max_chars), F.lit("\n"), F.lit(" "))
+            return F.concat(F.lit("[Page "), m["page"].cast("string"), F.lit("] "), preview)
 
-    summary = F.when(F.size(markers) == 0, clip(text, unpaged_chars)).otherwise(
-        F.array_join(F.transform(firsts, line), "\n")
-    )
-    return docs.withColumn("markers", marker_array("text")).select("doc_id", summary.alias("summary"))
+        return F.array_join(F.transform(F.slice(markers, 1, max_pages), line), "\n")
+
+    summary = F.when(text.rlike(P.PAGE_MARKER), let(marker_array("text"), lines)).otherwise(clip(text, unpaged_chars))
+    return docs.select("doc_id", summary.alias("summary"))
 
 
 def detect_table_pages(
@@ -149,12 +146,13 @@ def detect_table_pages(
 
 def page_text(pages: Column, wanted: Column) -> Column:
     """Texts of the wanted pages in list order, labelled; missing pages are skipped."""
-    by_page = F.map_from_arrays(pages["page"], pages["text"])
-
-    def labelled(p: Column) -> Column:
-        return F.concat(F.lit("[Page "), p.cast("string"), F.lit("]\n"), F.try_element_at(by_page, p))
+    def joined(by_page: Column) -> Column:
+        labelled = F.transform(
+            wanted, lambda p: F.concat(F.lit("[Page "), p.cast("string"), F.lit("]\n"), F.try_element_at(by_page, p))
+        )
+        return F.array_join(F.filter(labelled, lambda t: t.isNotNull()), "\n\n")
 
-    return F.array_join(F.filter(F.transform(wanted, labelled), lambda t: t.isNotNull()), "\n\n")
+    return let(F.map_from_arrays(pages["page"], pages["text"]), joined)
 
 
 def page_texts(docs: DataFrame, wanted: Column, marker: str = P.PAGE_MARKER) -> DataFrame:
@@ -172,34 +170,38 @@ def section_runs(pages: Column, is_table=None) -> Column:
     two starts, so the cost is linear in the number of pages.
     """
     is_table = is_table or (lambda p: has_grid(p["text"]))
-    ordered = F.transform(
-        F.array_sort(pages), lambda p: F.struct(p["page"].alias("page"), is_table(p).alias("tab"))
-    )
-    starts = F.filter(
-        F.sequence(F.lit(1), F.size(ordered)),
-        lambda i: (i == 1) | (F.get(ordered, i - 1)["tab"] != F.get(ordered, i - 2)["tab"]),
-    )
-    stops = F.concat(
-        F.transform(F.slice(starts, F.lit(2), F.size(starts)), lambda s: s - 1),
-        F.array(F.size(ordered)),
-    )
-
-    def section(first: Column, last: Column) -> Column:
-        numbers = F.transform(F.slice(ordered, first, last - first + 1), lambda p: p["page"])
+    def section(ordered: Column, first: Column, last: Column) -> Column:
         kind = F.get(ordered, first - 1)["tab"]
-        topic = F.concat(
-            F.when(kind, "Table").otherwise("Section"),
-            F.lit(" (pages "), F.get(numbers, F.lit(0)).cast("string"),
-            F.lit("-"), F.try_element_at(numbers, F.lit(-1)).cast("string"), F.lit(")"),
-        )
-        return F.struct(
-            topic.alias("topic"),
-            numbers.alias("pages"),
-            F.when(kind, "table").otherwise("paragraph").alias("type"),
-            F.array().cast("array<string>").alias("keywords"),
+
+        def named(numbers: Column) -> Column:
+            topic = F.concat(
+                F.when(kind, "Table").otherwise("Section"),
+                F.lit(" (pages "), F.get(numbers, F.lit(0)).cast("string"),
+                F.lit("-"), F.try_element_at(numbers, F.lit(-1)).cast("string"), F.lit(")"),
+            )
+            return F.struct(
+                topic.alias("topic"), numbers.alias("pages"),
+                F.when(kind, "table").otherwise("paragraph").alias("type"),
+                F.array().cast("array<string>").alias("keywords"),
+            )
+
+        return let(F.slice(ordered, first, last - first + 1)["page"], named)
+
+    def runs(ordered: Column) -> Column:
+        starts = F.filter(
+            F.sequence(F.lit(1), F.size(ordered)),
+            lambda i: (i == 1) | (F.get(ordered, i - 1)["tab"] != F.get(ordered, i - 2)["tab"]),
         )
+        return let(starts, lambda at: F.zip_with(
+            at,
+            F.concat(F.transform(F.slice(at, F.lit(2), F.size(at)), lambda s: s - 1), F.array(F.size(ordered))),
+            lambda first, last: section(ordered, first, last),
+        ))
 
-    return F.zip_with(starts, stops, section)
+    flagged = F.transform(
+        F.array_sort(pages), lambda p: F.struct(p["page"].alias("page"), is_table(p).alias("tab"))
+    )
+    return let(flagged, runs)
 
 
 def fallback_section_map(docs: DataFrame, marker: str = P.PAGE_MARKER, is_table=None) -> DataFrame:
@@ -269,18 +271,14 @@ def page_chunks(
     ``unpaged=True`` also chunks a document without markers (as page 1).
     """
     text = F.col("text")
-    numbers = F.regexp_extract_all(text, F.lit(marker), F.lit(1))
-    bodies = F.slice(F.split(text, marker, -1), F.lit(2), F.size(numbers))
-    marked = F.zip_with(
-        numbers, bodies, lambda n, b: F.struct(n.try_cast("int").alias("page"), strip(b).alias("body"))
-    )
+    marked = _marked_pages(text, marker)
     if unpaged:
-        lone = F.array(F.struct(F.lit(1).alias("page"), strip(text).alias("body")))
-        marked = F.when(F.size(numbers) == 0, lone).otherwise(marked)
+        lone = F.array(F.struct(F.lit(1).alias("page"), strip(text).alias("text")))
+        marked = F.when(text.rlike(marker), marked).otherwise(lone)
     starts = F.sequence(F.lit(0), F.greatest(F.length("body") - size, F.lit(0)), F.lit(stride))
     return (
         docs.select("doc_id", F.posexplode(F.slice(marked, 1, max_pages)).alias("page_idx", "p"))
-        .select("doc_id", "page_idx", F.col("p.page").alias("page"), F.col("p.body").alias("body"))
+        .select("doc_id", "page_idx", F.col("p.page").alias("page"), F.col("p.text").alias("body"))
         .select("doc_id", "page_idx", "page", "body", F.explode(starts).alias("start"))
         .select("doc_id", "page_idx", "page", "start",
                 strip(span(F.col("body"), F.col("start"), F.lit(size))).alias("chunk"))
@@ -327,9 +325,14 @@ def assemble_pages(pages: DataFrame, block: int = 512) -> DataFrame:
 def split_batch_response(responses: DataFrame, n: Column | int, text: str = "text") -> DataFrame:
     """Split a multi-page answer back into exactly ``n`` page texts."""
     n = F.lit(n) if isinstance(n, int) else n
-    parts = F.split(strip(text), P.BATCH_MARKER, -1)
-    texts = F.when(F.size(parts) == 1, parts).otherwise(
-        F.transform(F.slice(parts, F.lit(2), F.size(parts)), strip)
-    )
-    padded = F.concat(texts, F.array_repeat(F.lit(""), F.greatest(n - F.size(texts), F.lit(0))))
-    return responses.withColumn("texts", F.slice(padded, F.lit(1), n))
+    def texts(parts: Column) -> Column:
+        return F.when(F.size(parts) == 1, parts).otherwise(
+            F.transform(F.slice(parts, F.lit(2), F.size(parts)), strip)
+        )
+
+    def fitted(found: Column) -> Column:
+        padded = F.concat(found, F.array_repeat(F.lit(""), F.greatest(n - F.size(found), F.lit(0))))
+        return F.slice(padded, F.lit(1), n)
+
+    split = let(F.split(strip(text), P.BATCH_MARKER, -1), texts)
+    return responses.withColumn("texts", let(split, fitted))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import formats
 from fieldloom.functions import patterns as P
 from fieldloom.functions.text import (
-    WORD, as_col, blank_to_null, clip, count_char, match_spans, span, strip, words,
+    WORD, as_col, blank_to_null, clip, count_char, let, match_spans, span, strip, words,
 )
 from fieldloom.operators.pages import marker_array, page_array, page_at, page_text
 from fieldloom.sizing import fits_broadcast
@@ -29,20 +29,21 @@ def section_words(sections: Column) -> Column:
 
 def routed(sections: Column, tokens: Column, key_words: Column, all_pages: Column) -> Column:
     """Section sharing most words with the key; the first one on ties; else the first six pages."""
-    scores = F.transform(tokens, lambda t: F.size(F.array_intersect(t, key_words)))
-    best = F.coalesce(F.array_max(scores), F.lit(0))
-    at = F.array_position(scores, best).cast("int") - 1
-    hit = F.get(sections, at)
-
     def out(idx, topic, pages, kind, score) -> Column:
         return F.struct(
             idx.alias("section_idx"), topic.alias("topic"), pages.alias("pages"),
             kind.alias("type"), score.alias("overlap"),
         )
 
-    return F.when(best > 0, out(at, hit["topic"], hit["pages"], hit["type"], best)).otherwise(
-        out(F.lit(None).cast("int"), F.lit("Full Document"), F.slice(all_pages, 1, 6), F.lit("paragraph"), F.lit(0))
-    )
+    def choose(scores: Column) -> Column:
+        best = F.coalesce(F.array_max(scores), F.lit(0))
+        at = F.array_position(scores, best).cast("int") - 1
+        hit = F.get(sections, at)
+        nowhere = out(F.lit(None).cast("int"), F.lit("Full Document"), F.slice(all_pages, 1, 6),
+                      F.lit("paragraph"), F.lit(0))
+        return F.when(best > 0, out(at, hit["topic"], hit["pages"], hit["type"], best)).otherwise(nowhere)
+
+    return let(F.transform(tokens, lambda t: F.size(F.array_intersect(t, key_words))), choose)
 
 
 def route_keys(docs: DataFrame, keys: DataFrame, on: str = "subtype") -> DataFrame:
@@ -71,33 +72,33 @@ def _paragraph_pages(pages: Column, table_pages: Column) -> Column:
 
 def term_context(pages: Column, table_pages: Column, terms: Column, k: int = 3) -> Column:
     """Top pages by number of terms contained: ``array<struct<score, page, text>>``."""
-    low_terms = F.transform(terms, F.lower)
-
-    def scored(p: Column) -> Column:
-        low = F.lower(p["text"])
-        n = F.size(F.filter(low_terms, lambda t: F.contains(low, t)))
+    def scored(p: Column, low_terms: Column) -> Column:
+        n = let(F.lower(p["text"]), lambda low: F.size(F.filter(low_terms, lambda t: F.contains(low, t))))
         return F.struct((-n).alias("neg"), p["page"].alias("page"), p["text"].alias("text"))
 
-    ranked = F.array_sort(
-        F.filter(F.transform(_paragraph_pages(pages, table_pages), scored), lambda s: s["neg"] < 0)
-    )
+    def ranked(low_terms: Column) -> Column:
+        rows = F.transform(_paragraph_pages(pages, table_pages), lambda p: scored(p, low_terms))
+        return F.slice(F.array_sort(F.filter(rows, lambda s: s["neg"] < 0)), 1, k)
+
     return F.transform(
-        F.slice(ranked, 1, k),
+        let(F.transform(terms, lambda t: F.lower(t)), ranked),
         lambda s: F.struct((-s["neg"]).alias("score"), s["page"].alias("page"), s["text"].alias("text")),
     )
 
 
 def near_context(pages: Column, table_pages: Column, reach: int = 1) -> Column:
     """Neighbouring paragraph pages in table-page order; a page may come twice."""
-    paragraphs = _paragraph_pages(pages, table_pages)
-    by_page = F.map_from_arrays(paragraphs["page"], paragraphs["text"])
     neighbours = F.flatten(F.transform(
         table_pages, lambda p: F.sequence(F.greatest(F.lit(1), p - reach), p + reach)
     ))
-    found = F.transform(
-        neighbours, lambda n: F.struct(n.alias("page"), F.try_element_at(by_page, n).alias("text"))
-    )
-    return F.filter(found, lambda n: n["text"].isNotNull())
+
+    def found(by_page: Column) -> Column:
+        return F.transform(
+            neighbours, lambda n: F.struct(n.alias("page"), F.try_element_at(by_page, n).alias("text"))
+        )
+
+    by_page = let(_paragraph_pages(pages, table_pages), lambda ps: F.map_from_arrays(ps["page"], ps["text"]))
+    return F.filter(let(by_page, found), lambda n: n["text"].isNotNull())
 
 
 def context_by_terms(docs: DataFrame, k: int = 3) -> DataFrame:
@@ -130,7 +131,7 @@ def surrounding_text(pages: Column, table_pages: Column, terms: Column, reach: i
         near_context(pages, table_pages, reach),
         lambda n: F.concat(F.lit("[Page "), n["page"].cast("string"), F.lit("]\n"), n["text"]),
     )
-    return F.array_join(F.when(F.size(by_terms) > 0, by_terms).otherwise(near), "\n\n")
+    return F.array_join(let(by_terms, lambda c: F.when(F.size(c) > 0, c).otherwise(near)), "\n\n")
 
 
 # -------------------------------------------------------------------------------- vectors
@@ -357,21 +358,19 @@ def _sentences(pages: Column, definition_pages: Column, min_chars: int, max_char
     return F.flatten(F.concat(first, rest))
 
 
-def mentions(text: Column, key: Column) -> Column:
-    """Does the text hold any word of the key of three or more characters? True if it has none."""
-    key_words = words(key, 3)
-    low = F.lower(text)
-    return (F.size(key_words) == 0) | F.exists(key_words, lambda w: F.contains(low, w))
+def mentions(text: Column, key_words: Column) -> Column:
+    """Does the text hold any of the key's words? True if the key has none."""
+    hit = let(F.lower(text), lambda low: F.exists(key_words, lambda w: F.contains(low, w)))
+    return (F.size(key_words) == 0) | hit
 
 
 def best_snippets(sentences: Column, key: Column, k: int = 8, prefix: int = 80) -> Column:
     """Top k sentences for a key, one per 80-character prefix."""
-    low_key = F.lower(key)
-    hits = F.filter(sentences, lambda s: mentions(s["snippet"], key))
-    scored = F.transform(hits, lambda s, i: F.struct(
+    hits = let(words(key, 3), lambda ws: F.filter(sentences, lambda s: mentions(s["snippet"], ws)))
+    scored = let(F.lower(key), lambda low_key: F.transform(hits, lambda s, i: F.struct(
         (-(s["base"] + F.when(F.contains(F.lower(s["snippet"]), low_key), 1).otherwise(0))).alias("neg"),
         i.alias("ord"), s["page"].alias("page"), s["snippet"].alias("snippet"),
-    ))
+    )))
     kept_type = "array<struct<neg:int,ord:int,page:int,snippet:string>>"
     start = F.struct(
         F.array().cast("array<string>").alias("seen"), F.array().cast(kept_type).alias("kept")

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import patterns as P
-from fieldloom.functions.text import LINE_BREAK, as_col, blank_to_null, match_spans, strip
+from fieldloom.functions.text import LINE_BREAK, as_col, blank_to_null, let, match_spans, strip
 
 UNKNOWN_TITLE = "Unknown Table"
 
@@ -26,23 +26,23 @@ def table_blocks(text: Column | str) -> Column:
     ``page`` is NULL before the first page marker.
     """
     text = as_col(text)
-    numbers = F.regexp_extract_all(text, F.lit(P.LOOSE_PAGE_MARKER), F.lit(1))
-    bodies = F.split(text, P.LOOSE_PAGE_MARKER, -1)
-    segments = F.transform(
-        bodies,
-        lambda body, i: F.struct(F.get(numbers, i - 1).try_cast("int").alias("page"), body.alias("body")),
-    )
 
-    def in_segment(s: Column) -> Column:
-        parts = F.split(s["body"], P.TABLE_LABEL, -1)
+    def blocks(page: Column, body: Column) -> Column:
+        parts = let(F.split(body, P.TABLE_LABEL, -1), lambda ps: F.slice(ps, F.lit(2), F.size(ps)))
         return F.transform(
-            F.slice(parts, F.lit(2), F.size(parts)),
+            parts,
             lambda part: F.struct(
-                s["page"].alias("page"), F.get(F.split(part, P.TABLE_END, 2), F.lit(0)).alias("block")
+                page.alias("page"), F.get(F.split(part, P.TABLE_END, 2), F.lit(0)).alias("block")
             ),
         )
 
-    return F.flatten(F.transform(segments, in_segment))
+    def of_segments(numbers: Column) -> Column:
+        return F.flatten(F.transform(
+            F.split(text, P.LOOSE_PAGE_MARKER, -1),
+            lambda body, i: blocks(F.get(numbers, i - 1).try_cast("int"), body),
+        ))
+
+    return let(F.regexp_extract_all(text, F.lit(P.LOOSE_PAGE_MARKER), F.lit(1)), of_segments)
 
 
 def border_lines(block: Column) -> Column:
@@ -53,7 +53,7 @@ def border_lines(block: Column) -> Column:
 def split_cells(line: Column, keep_empty: bool = False) -> Column:
     parts = F.transform(F.split(line, P.CELL_BORDER, -1), strip)
     if keep_empty:
-        return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
+        return let(parts, lambda ps: F.slice(ps, F.lit(2), F.greatest(F.size(ps) - 2, F.lit(0))))
     return F.filter(parts, lambda c: c != "")
 
 
@@ -116,8 +116,10 @@ def expand_thresholds(cells: Column) -> Column:
 
 
 def _threshold_parts(cell: Column) -> Column:
-    tokens = F.regexp_extract_all(cell, F.lit(P.THRESHOLD), F.lit(0))
-    return F.when(F.size(tokens) > 1, F.transform(tokens, strip)).otherwise(F.array(cell))
+    return let(
+        F.regexp_extract_all(cell, F.lit(P.THRESHOLD), F.lit(0)),
+        lambda tokens: F.when(F.size(tokens) > 1, F.transform(tokens, strip)).otherwise(F.array(cell)),
+    )
 
 
 def generic_names(n: Column) -> Column:
@@ -132,9 +134,9 @@ def header_names(headers: Column, first_data: Column) -> Column:
 
     def name(c: Column) -> Column:
         parts = F.filter(F.transform(headers, lambda h: blank_to_null(F.get(h, c))), lambda p: p.isNotNull())
-        return F.when(F.size(parts) > 0, F.array_join(parts, " ")).otherwise(
+        return let(parts, lambda ps: F.when(F.size(ps) > 0, F.array_join(ps, " ")).otherwise(
             F.concat(F.lit("col_"), c.cast("string"))
-        )
+        ))
 
     return F.when(
         F.size(headers) > 0, F.transform(F.sequence(F.lit(0), width - 1), name)
@@ -191,14 +193,14 @@ def column_headers(docs: DataFrame, header_rows: int | None = None) -> DataFrame
 # ----------------------------------------------------------------------------------- cells
 def merged_value(value: Column, col_label: Column) -> Column:
     """Pick one token of a merged cell: the one whose number the column names, else the first."""
-    tokens = F.regexp_extract_all(value, F.lit(P.MERGED_TOKEN), F.lit(0))
-    label = F.lower(col_label)
-    named = F.filter(
-        tokens, lambda t: F.contains(label, F.regexp_extract(t, P.MERGED_NUMBER, 0))
-    )
-    return F.when(F.size(tokens) <= 1, value).otherwise(
-        strip(F.coalesce(F.get(named, F.lit(0)), F.get(tokens, F.lit(0))))
-    )
+    def pick(tokens: Column, label: Column) -> Column:
+        named = F.filter(tokens, lambda t: F.contains(label, F.regexp_extract(t, P.MERGED_NUMBER, 0)))
+        return F.when(F.size(tokens) <= 1, value).otherwise(
+            strip(F.coalesce(F.get(named, F.lit(0)), F.get(tokens, F.lit(0))))
+        )
+
+    found = F.regexp_extract_all(value, F.lit(P.MERGED_TOKEN), F.lit(0))
+    return let(found, lambda tokens: pick(tokens, F.lower(col_label)))
 
 
 def split_merged_value(cells: DataFrame, value: str = "value", col_label: str = "col_label") -> DataFrame:
@@ -221,9 +223,10 @@ def row_cells(rows: Column, columns: Column, value_test) -> Column:
         )
 
     found = F.filter(F.flatten(F.transform(rows, cells_of)), lambda c: value_test(c["value"]))
-    return F.transform(
-        found, lambda c: c.withField("value", merged_value(c["value"], c["col_label"]))
-    )
+    return F.transform(found, lambda c: F.struct(
+        c["row_idx"].alias("row_idx"), c["col_idx"].alias("col_idx"), c["row_label"].alias("row_label"),
+        c["col_label"].alias("col_label"), merged_value(c["value"], c["col_label"]).alias("value"),
+    ))
 
 
 CELL_COLUMNS = ["doc_id", "page", "table_idx", "row_idx", "col_idx", "table_title", "row_label", "col_label", "value"]

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldloom.sources.corpus import spread
+
 RULE = "=" * 30
 
 
@@ -31,10 +33,17 @@ def page_header(n: Column) -> Column:
     return F.concat(F.lit(f"{RULE}\nPAGE "), n.cast("string"), F.lit(f"\n{RULE}\n"))
 
 
+def materialized(rows: DataFrame, text: Column) -> DataFrame:
+    """Add ``text``, built once per row: a generated text is long, and its readers use it often."""
+    return spread(rows).withColumn("_text", F.array(text)).withColumn("text", F.explode("_text")).drop("_text")
+
+
 def paged_documents(t: Tables) -> DataFrame:
     """Documents with every line as a page of its own."""
     pages = F.transform(F.split("text", "\n", -1), lambda line, i: F.concat(page_header(i + 1), line))
-    return t.documents.select("doc_id", F.array_join(pages, "\n").alias("text"), F.col("source").alias("subtype"))
+    return materialized(t.documents, F.array_join(pages, "\n")).select(
+        "doc_id", "text", F.col("source").alias("subtype")
+    )
 
 
 def line_pages(t: Tables) -> DataFrame:
@@ -42,7 +51,7 @@ def line_pages(t: Tables) -> DataFrame:
     pages = F.transform(
         F.split("text", "\n", -1), lambda line, i: F.struct((i + 1).alias("page"), line.alias("text"))
     )
-    return t.documents.select("doc_id", pages.alias("pages"), F.col("source").alias("subtype"))
+    return spread(t.documents).select("doc_id", pages.alias("pages"), F.col("source").alias("subtype"))
 
 
 def conversation_pages(t: Tables) -> DataFrame:
@@ -106,7 +115,7 @@ def grid_documents(t: Tables) -> DataFrame:
         grid_line(F.concat(F.lit("Rates of part "), F.col("doc_id").cast("string"))), F.lit("\n├──────┤\n"),
         grid_line("Flag", *GRID_COLUMNS), F.lit("\n"), _flag_rows(), F.lit("\n└──────┘\n"),
     )
-    return part_rates(t).select("doc_id", text.alias("text"))
+    return materialized(part_rates(t), text).select("doc_id", "text")
 
 
 def split_grid_documents(t: Tables) -> DataFrame:
@@ -117,7 +126,7 @@ def split_grid_documents(t: Tables) -> DataFrame:
         grid_line("Flag", *GRID_COLUMNS), F.lit("\n"),
         page_header(F.lit(2)), F.lit("[Table 2]\n"), _flag_rows(), F.lit("\n"),
     )
-    return part_rates(t).select("doc_id", text.alias("text"))
+    return materialized(part_rates(t), text).select("doc_id", "text")
 
 
 # ------------------------------------------------------------------------------ agreements
@@ -177,7 +186,7 @@ def agreements(t: Tables) -> DataFrame:
         lit("\nFOR THE BORROWER\nName: Nadia "), c("letters"), lit("\nTitle: Minister of "), c("segment"),
         lit("\n\nFOR THE BANK\nBy: Omar "), c("letters"), lit("\nTitle: Country Director\n"),
     )
-    return agreement_facts(t).select("doc_id", text.alias("text"), F.lit("loan").alias("subtype"))
+    return materialized(agreement_facts(t), text).select("doc_id", "text", F.lit("loan").alias("subtype"))
 
 
 AGREEMENT_SECTIONS = [

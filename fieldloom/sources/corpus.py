@@ -10,6 +10,15 @@ from fieldloom.functions.text import as_col
 FINGERPRINT_BYTES = 1024 * 1024
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for text work on a source with few splits.
+
+    A source with at least as many splits as cores, as any large one, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Documents as ``doc_id, text, …``. A missing path is an error, raised by Spark at once.
 
