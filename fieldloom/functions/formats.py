@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions import patterns as P
 from fieldloom.functions.text import (
-    as_col, blank_to_null, contains_any, group1, strip,
+    as_col, blank_to_null, contains_any, group1, let, strip,
 )
 
 
@@ -155,81 +155,96 @@ def format_check(value: Column | str, fmt: Column | str, strict: bool = False, l
     ``lenient`` also takes ``.75%`` and ``3.00x``. ``strict`` rejects dates that do not exist.
     """
     raw, fmt = as_col(value), as_col(fmt)
-    v = strip(raw)
-    date = normalize_date(v, strict)
-    is_date = date.rlike(P.VALUE_RULES["date"][0])
-    if strict:
-        is_date = is_date & F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNotNull()
-    v = F.when((fmt == "percentage") & v.rlike(P.BARE_NUMBER), F.concat(v, F.lit("%"))).otherwise(v)
-    fits = _fits(v, fmt, P.VALUE_RULES)
-    if lenient:
-        fits = fits | ((fmt == "percentage") & v.rlike(r"^\.\d+\s*%$")) | ((fmt == "ratio") & v.rlike(r"(?i)^\d+\.?\d*\s*x$"))
-    normal = F.when(fmt == "ratio", F.regexp_replace(v, P.RATIO_TAIL, " to 1.00")).otherwise(v)
     none = F.lit("")
-    return (
-        F.when(
-            raw.isNull() | v.isin(NULL_LIKE),
-            _verdict(False, F.lit(None).cast("string"), F.lit("null or empty value")),
+
+    def of_date(date: Column) -> Column:
+        ok = date.rlike(P.VALUE_RULES["date"][0])
+        if strict:
+            ok = ok & F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNotNull()
+        wrong = F.concat(F.lit("cannot normalize date — expected YYYY-MM-DD, got '"), date, F.lit("'"))
+        return F.when(ok, _verdict(True, date, none)).otherwise(_verdict(False, date, wrong))
+
+    def of_other(v: Column) -> Column:
+        fits = _fits(v, fmt, P.VALUE_RULES)
+        if lenient:
+            fits = (
+                fits | ((fmt == "percentage") & v.rlike(r"^\.\d+\s*%$"))
+                | ((fmt == "ratio") & v.rlike(r"(?i)^\d+\.?\d*\s*x$"))
+            )
+        normal = F.when(fmt == "ratio", F.regexp_replace(v, P.RATIO_TAIL, " to 1.00")).otherwise(v)
+        wrong = F.concat(
+            F.lit("format mismatch — expected "), fmt, F.lit(" (e.g. "), format_example(fmt),
+            F.lit("), got '"), v, F.lit("'"),
         )
-        .when((fmt == "date") & is_date, _verdict(True, date, none))
-        .when(
-            fmt == "date",
-            _verdict(False, date, F.concat(
-                F.lit("cannot normalize date — expected YYYY-MM-DD, got '"), date, F.lit("'"))),
+        return F.when(fits, _verdict(True, normal, none)).otherwise(_verdict(False, v, wrong))
+
+    def of_value(v: Column) -> Column:
+        completed = F.when((fmt == "percentage") & v.rlike(P.BARE_NUMBER), F.concat(v, F.lit("%"))).otherwise(v)
+        return (
+            F.when(
+                raw.isNull() | v.isin(NULL_LIKE),
+                _verdict(False, F.lit(None).cast("string"), F.lit("null or empty value")),
+            )
+            .when(fmt == "date", let(normalize_date(v, strict), of_date))
+            .otherwise(let(completed, of_other))
         )
-        .when(fits, _verdict(True, normal, none))
-        .otherwise(_verdict(False, v, F.concat(
-            F.lit("format mismatch — expected "), fmt, F.lit(" (e.g. "), format_example(fmt),
-            F.lit("), got '"), v, F.lit("'"))))
-    )
+
+    return let(strip(raw), of_value)
 
 
 def sanity_check(value: Column | str, fmt: Column | str, hint: Column | None = None) -> Column:
     """Scoring variant: ``struct<valid, normalized, score_adj, issue>``."""
     v, fmt = as_col(value), as_col(fmt)
     hint = F.lit(None).cast("string") if hint is None else hint
-    # Long dates first; the outcome is then looked at once more for a slash date.
-    named = _dashed(
-        group1(v, P.PLAIN_MONTH_DAY_YEAR, 3), _month(group1(v, P.PLAIN_MONTH_DAY_YEAR, 1)),
-        _two(group1(v, P.PLAIN_MONTH_DAY_YEAR, 2)),
-    )
-    step = F.coalesce(named, group1(v, P.PLAIN_MONTH_DAY_YEAR, 0), v)
-    slashed = _dashed(
-        group1(step, P.SLASH_DATE, 3), _two(group1(step, P.SLASH_DATE, 1)), _two(group1(step, P.SLASH_DATE, 2))
-    )
-    dated = F.when(fmt == "date", F.coalesce(slashed, step)).otherwise(v)
-    fits = _fits(dated, fmt, P.SCORED_VALUE_RULES)
-    completed = F.when(
-        ~fits & (fmt == "percentage") & dated.rlike(P.BARE_NUMBER), F.concat(dated, F.lit("%"))
-    ).otherwise(dated)
-    normal = (
-        F.when(fmt == "ratio", F.regexp_replace(completed, P.RATIO_TAIL, " to 1.00"))
-        .when((fmt == "percentage") & F.endswith(completed, F.lit("%")), strip(completed))
-        .when(fmt == "percentage", F.concat(completed, F.lit("%")))
-        .otherwise(completed)
-    )
-    decimal = r"(?U)\d+\.\d+"
-    gap = F.abs(group1(hint, decimal, 0).try_cast("double") - group1(normal, decimal, 0).try_cast("double"))
-    off = (fmt == "ratio") & F.coalesce(gap >= 0.01, F.lit(False))
+    table = P.SCORED_VALUE_RULES
 
-    def out(valid, normalized, adj, issue) -> Column:
+    def out(valid: bool, normalized: Column, adj: float, issue: Column | str) -> Column:
         return F.struct(
-            F.lit(valid).alias("valid"), normalized.alias("normalized"),
-            adj.cast("double").alias("score_adj"), issue.alias("issue"),
+            F.lit(valid).alias("valid"), normalized.alias("normalized"), F.lit(adj).alias("score_adj"),
+            (F.lit(issue) if isinstance(issue, str) else issue).alias("issue"),
         )
 
-    return (
-        F.when(v.isNull() | v.isin("", "null", "N/A"),
-               out(False, F.lit(None).cast("string"), F.lit(-1.0), F.lit("null value")))
-        .when((fmt == "date") & ~dated.rlike(P.SCORED_VALUE_RULES["date"][0]),
-              out(False, dated, F.lit(-0.3), F.lit("date format wrong, expected YYYY-MM-DD")))
-        .when(~fits & (completed == dated),
-              out(False, dated, F.lit(-0.5), F.concat(
-                  F.lit("value '"), dated, F.lit("' does not match expected format '"), fmt,
-                  F.lit("' (e.g. "), _rule(fmt, P.SCORED_VALUE_RULES, 1), F.lit(")"))))
-        .when(off, out(True, normal, F.lit(-0.1), F.lit("value doesn't match definition hint")))
-        .otherwise(out(True, normal, F.lit(0.0), F.lit("")))
-    )
+    # Long dates first; the outcome is then looked at once more for a slash date.
+    def named(x: Column) -> Column:
+        date = _dashed(
+            group1(x, P.PLAIN_MONTH_DAY_YEAR, 3), _month(group1(x, P.PLAIN_MONTH_DAY_YEAR, 1)),
+            _two(group1(x, P.PLAIN_MONTH_DAY_YEAR, 2)),
+        )
+        return F.coalesce(date, group1(x, P.PLAIN_MONTH_DAY_YEAR, 0), x)
+
+    def slashed(x: Column) -> Column:
+        date = _dashed(group1(x, P.SLASH_DATE, 3), _two(group1(x, P.SLASH_DATE, 1)), _two(group1(x, P.SLASH_DATE, 2)))
+        return F.coalesce(date, x)
+
+    def accepted(normal: Column) -> Column:
+        decimal = r"(?U)\d+\.\d+"
+        gap = F.abs(group1(hint, decimal, 0).try_cast("double") - group1(normal, decimal, 0).try_cast("double"))
+        off = (fmt == "ratio") & F.coalesce(gap >= 0.01, F.lit(False))
+        return F.when(off, out(True, normal, -0.1, "value doesn't match definition hint")).otherwise(
+            out(True, normal, 0.0, "")
+        )
+
+    def judged(x: Column) -> Column:
+        bare = (fmt == "percentage") & x.rlike(P.BARE_NUMBER)
+        normal = (
+            F.when(fmt == "ratio", F.regexp_replace(x, P.RATIO_TAIL, " to 1.00"))
+            .when(bare, F.concat(x, F.lit("%"))).when(fmt == "percentage", strip(x)).otherwise(x)
+        )
+        mismatch = F.concat(
+            F.lit("value '"), x, F.lit("' does not match expected format '"), fmt, F.lit("' (e.g. "),
+            _rule(fmt, table, 1), F.lit(")"),
+        )
+        return (
+            F.when((fmt == "date") & ~x.rlike(table["date"][0]),
+                   out(False, x, -0.3, "date format wrong, expected YYYY-MM-DD"))
+            .when(~_fits(x, fmt, table) & ~bare, out(False, x, -0.5, mismatch))
+            .otherwise(let(normal, accepted))
+        )
+
+    dated = let(let(v, named), slashed)
+    return F.when(
+        v.isNull() | v.isin("", "null", "N/A"), out(False, F.lit(None).cast("string"), -1.0, "null value")
+    ).otherwise(let(F.when(fmt == "date", dated).otherwise(v), judged))
 
 
 def currency_rescue(key_name: Column, value: Column, page_text: Column, anchored: bool = True) -> Column:

@@ -152,7 +152,7 @@ def text_matches(docs: DataFrame, families: list[str] | None = None) -> DataFram
         marker_array("text", P.LOOSE_PAGE_MARKER),
         lambda markers: F.concat(*[family(F.col("text"), markers) for family in chosen]),
     )
-    rows = docs.select("doc_id", F.inline(found))
+    rows = docs.select("doc_id", F.inline_outer(found)).filter(F.col("source").isNotNull())
     key = (
         F.when(F.col("source").isin(REPEATED), F.concat_ws(":", "rank", "pos"))
         .when(F.col("source") == "program", F.lower("value"))
@@ -237,7 +237,7 @@ def find_all(
     found = docs.filter(F.col("text").rlike(pattern)).select(
         "doc_id", *(["text"] if keep_text else []),
         marker_array("text", marker).alias("markers"), match_spans("text", pattern, groups, tail).alias("found"),
-    ).withColumn("m", F.explode("found"))
+    ).withColumn("m", F.explode_outer("found")).filter(F.col("m").isNotNull())
     return found.select(
         "doc_id", *(["text"] if keep_text else []),
         F.col("m.start").alias("pos"), F.col("m.hit").alias("hit"),

@@ -52,7 +52,7 @@ def with_pages(docs: DataFrame, marker: str = P.PAGE_MARKER, text: str = "text")
 
 def split_pages(docs: DataFrame, marker: str = P.PAGE_MARKER) -> DataFrame:
     """One row per page."""
-    return docs.select("doc_id", F.inline(page_array("text", marker)))
+    return docs.select("doc_id", F.inline_outer(page_array("text", marker))).filter(F.col("text").isNotNull())
 
 
 # ------------------------------------------------------------------------ page of an offset
@@ -88,7 +88,7 @@ def page_of_position(
         positions,
         lambda at: F.struct(at.cast("int").alias("position"), page_at(markers, at, default, by).alias("page")),
     ))
-    return docs.select("doc_id", F.inline(looked_up))
+    return docs.select("doc_id", F.inline_outer(looked_up)).filter(F.col("position").isNotNull())
 
 
 # ------------------------------------------------------------------------------- summaries
@@ -277,7 +277,8 @@ def page_chunks(
         marked = F.when(text.rlike(marker), marked).otherwise(lone)
     starts = F.sequence(F.lit(0), F.greatest(F.length("body") - size, F.lit(0)), F.lit(stride))
     return (
-        docs.select("doc_id", F.posexplode(F.slice(marked, 1, max_pages)).alias("page_idx", "p"))
+        docs.select("doc_id", F.posexplode_outer(F.slice(marked, 1, max_pages)).alias("page_idx", "p"))
+        .filter(F.col("p").isNotNull())
         .select("doc_id", "page_idx", F.col("p.page").alias("page"), F.col("p.text").alias("body"))
         .select("doc_id", "page_idx", "page", "body", F.explode(starts).alias("start"))
         .select("doc_id", "page_idx", "page", "start",

@@ -104,7 +104,7 @@ def near_context(pages: Column, table_pages: Column, reach: int = 1) -> Column:
 def context_by_terms(docs: DataFrame, k: int = 3) -> DataFrame:
     """``docs``: doc_id, pages, table_pages, terms. One row per context page."""
     ctx = term_context(F.col("pages"), F.col("table_pages"), F.col("terms"), k)
-    return docs.select("doc_id", F.posexplode(ctx).alias("rank", "c")).select(
+    return docs.select("doc_id", F.posexplode_outer(ctx).alias("rank", "c")).filter(F.col("c").isNotNull()).select(
         "doc_id", (F.col("rank") + 1).alias("rank"), F.col("c.page").alias("page"),
         F.col("c.score").alias("score"),
     )
@@ -273,16 +273,16 @@ def router_decision(
 def alias_research(first: DataFrame, second: DataFrame, floor: float = 0.35) -> DataFrame:
     """Alias results replace a weak first result, but only when they score higher.
 
-    Both are ranked results per query; the choice is one aggregate over their best scores.
+    Both are ranked results per query. Their best scores are compared per query; the two sides
+    are aggregated apart, so no aggregate reads through a union of shuffled inputs.
     """
-    both = first.withColumn("is_alias", F.lit(False)).unionByName(second.withColumn("is_alias", F.lit(True)))
-    best = both.groupBy("query_id").agg(
-        F.coalesce(F.max(F.when(~F.col("is_alias"), F.col("score"))), F.lit(0.0)).alias("own"),
-        F.max(F.when(F.col("is_alias"), F.col("score"))).alias("alias"),
-    )
-    take_alias = (F.col("own") < floor) & F.coalesce(F.col("alias") > F.col("own"), F.lit(False))
-    choice = best.select("query_id", take_alias.alias("use_alias"))
-    return both.join(choice, "query_id").filter(F.col("is_alias") == F.col("use_alias")).drop("is_alias")
+    own = first.groupBy("query_id").agg(F.max("score").alias("own"))
+    alias = second.groupBy("query_id").agg(F.max("score").alias("alias"))
+    base = F.coalesce("own", F.lit(0.0))
+    take_alias = (base < floor) & F.coalesce(F.col("alias") > base, F.lit(False))
+    choice = own.join(alias, "query_id", "full").select("query_id", take_alias.alias("use_alias"))
+    kept = first.join(choice.filter("not use_alias"), "query_id")
+    return kept.unionByName(second.join(choice.filter("use_alias"), "query_id"))
 
 
 # -------------------------------------------------------------------------------- keywords
@@ -323,7 +323,8 @@ def keyword_search(
     found = (
         pairs.select("doc_id", "key_id", "key_name", "text", keyword_pattern(F.col("key_name")).alias("pattern"))
         .select("doc_id", "key_id", "key_name", "text", marker_array("text", marker).alias("markers"), hits.alias("hits"))
-        .select("doc_id", "key_id", "key_name", "text", "markers", F.posexplode("hits").alias("match_idx", "m"))
+        .select("doc_id", "key_id", "key_name", "text", "markers", F.posexplode_outer("hits").alias("match_idx", "m"))
+        .filter(F.col("m").isNotNull())
     )
     begin = F.greatest(F.col("m.start") - context, F.lit(0))
     length = F.col("m.start") + F.length("m.hit") + context - begin
@@ -401,8 +402,9 @@ def definition_candidates(docs: DataFrame, keys: DataFrame, on: str = "subtype",
     cut = with_sentences(docs).select("doc_id", on, "sentences")
     paired = cut.join(keys.select("key_id", "key_name", on), on)
     return paired.select(
-        "doc_id", "key_id", F.posexplode(best_snippets(F.col("sentences"), F.col("key_name"), k)).alias("pos", "c")
-    ).select("doc_id", "key_id", (F.col("pos") + 1).alias("rank"), "c.score", "c.page", "c.snippet")
+        "doc_id", "key_id",
+        F.posexplode_outer(best_snippets(F.col("sentences"), F.col("key_name"), k)).alias("pos", "c"),
+    ).filter(F.col("c").isNotNull()).select("doc_id", "key_id", (F.col("pos") + 1).alias("rank"), "c.score", "c.page", "c.snippet")
 
 
 # -------------------------------------------------------------------------- wider contexts

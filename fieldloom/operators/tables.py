@@ -79,7 +79,8 @@ def first_lone_cell(block: Column, min_len: int = 1) -> Column:
 def locate_tables(docs: DataFrame) -> DataFrame:
     """One row per labelled block that holds a grid."""
     return (
-        docs.select("doc_id", F.posexplode(table_blocks("text")).alias("table_idx", "t"))
+        docs.select("doc_id", F.posexplode_outer(table_blocks("text")).alias("table_idx", "t"))
+        .filter(F.col("t").isNotNull())
         .select("doc_id", "table_idx", F.coalesce(F.col("t.page"), F.lit(1)).alias("page"),
                 F.col("t.block").alias("block"))
         .filter(F.contains("block", F.lit(P.CELL_BORDER)))
@@ -244,8 +245,8 @@ def grid_cells(docs: DataFrame, keep_empty: bool = False, header_rows: int | Non
     )
     return parsed.select(
         "doc_id", "page", "table_idx", F.col("title").alias("table_title"),
-        F.inline(row_cells(F.col("data"), F.col("columns"), is_value)),
-    ).select(*CELL_COLUMNS)
+        F.inline_outer(row_cells(F.col("data"), F.col("columns"), is_value)),
+    ).select(*CELL_COLUMNS).filter(F.col("value").isNotNull())
 
 
 def oriented(cells: DataFrame) -> DataFrame:
@@ -310,8 +311,8 @@ def stitch_cross_page(docs: DataFrame, reach: int = 2) -> DataFrame:
     columns = F.when(F.size("names") >= n_values, F.col("names")).otherwise(generic_names(n_values + 1))
     return stitched.select(
         "doc_id", F.col("below.page").alias("page"), "table_idx", "table_title",
-        F.inline(row_cells(F.col("data"), columns, lambda v: v.rlike(P.STITCH_VALUE))),
-    ).select(*CELL_COLUMNS)
+        F.inline_outer(row_cells(F.col("data"), columns, lambda v: v.rlike(P.STITCH_VALUE))),
+    ).select(*CELL_COLUMNS).filter(F.col("value").isNotNull())
 
 
 def known_grid(
@@ -329,7 +330,8 @@ def known_grid(
         docs.filter(F.col("text").rlike(row_pattern))
         .select("doc_id", marker_array("text", marker).alias("markers"),
                 match_spans("text", row_pattern, groups).alias("found"))
-        .select("doc_id", "markers", F.posexplode("found").alias("row_idx", "m"))
+        .select("doc_id", "markers", F.posexplode_outer("found").alias("row_idx", "m"))
+        .filter(F.col("m").isNotNull())
     )
     value = lambda raw: F.coalesce(
         F.get(F.regexp_extract_all(strip(raw), F.lit(P.KNOWN_GRID_TOKEN), F.lit(0)), F.lit(0)), strip(raw)
