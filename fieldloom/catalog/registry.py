@@ -47,7 +47,7 @@ def avg_confidence(spark: SparkSession, path: str) -> DataFrame:
 AVG_SQL = f"""
 WITH {S.RESULTS},
 a AS (SELECT doc_id, avg(coalesce(round(score, 2), 0)) AS m FROM res GROUP BY doc_id)
-SELECT o_orderkey AS doc_id, round(coalesce(m, 0), 3)::DOUBLE AS avg_confidence FROM orders LEFT JOIN a ON a.doc_id = o_orderkey
+SELECT o_orderkey AS doc_id, round(coalesce(m, 0)::DECIMAL(18, 9), 3)::DOUBLE AS avg_confidence FROM orders LEFT JOIN a ON a.doc_id = o_orderkey
 """
 
 

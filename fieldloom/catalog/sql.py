@@ -108,7 +108,7 @@ res AS (
 REGISTRY = """
 lines AS (
   SELECT l_orderkey AS id, count(*)::INT AS total_keys, max(l_shipdate) AS shipped,
-         round(sum(round(l_quantity)::BIGINT) / (count(*) * 50), 3) AS avg_confidence
+         round((sum(round(l_quantity)::BIGINT) / (count(*) * 50))::DECIMAL(18, 9), 3)::DOUBLE AS avg_confidence
   FROM lineitem GROUP BY 1
 ),
 reg AS (

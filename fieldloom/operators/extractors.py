@@ -145,14 +145,20 @@ FAMILIES = {
 }
 
 
-def text_matches(docs: DataFrame, families: list[str] | None = None) -> DataFrame:
-    """All matches of the chosen families in one pass, first occurrence per document and key."""
+def text_matches(docs: DataFrame, families: list[str] | None = None, merge: bool = True) -> DataFrame:
+    """All matches of the chosen families in one pass, first occurrence per document and value.
+
+    ``merge=False`` keeps repeats; nothing is shuffled then.
+    """
     chosen = [FAMILIES[f] for f in (families or FAMILIES)]
     found = let(
         marker_array("text", P.LOOSE_PAGE_MARKER),
         lambda markers: F.concat(*[family(F.col("text"), markers) for family in chosen]),
     )
     rows = docs.select("doc_id", F.inline_outer(found)).filter(F.col("source").isNotNull())
+    full_value = F.concat_ws(" ", "value", "suffix").alias("value")
+    if not merge:
+        return rows.select("doc_id", *[c for c in MATCH_COLUMNS if c != "value"], full_value)
     key = (
         F.when(F.col("source").isin(REPEATED), F.concat_ws(":", "rank", "pos"))
         .when(F.col("source") == "program", F.lower("value"))
