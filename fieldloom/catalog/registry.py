@@ -40,14 +40,15 @@ _PCT = ", ".join(f"round({n}_confidence * 100 / total_keys)::INT AS {n}_pct" for
 
 def avg_confidence(spark: SparkSession, path: str) -> DataFrame:
     docs = Tables(spark, path).orders.select(F.col("o_orderkey").alias("doc_id"))
-    exact = _res(spark, path).withColumn("score", F.round("score", 2))
+    exact = _res(spark, path).withColumn("score", F.round("score", 2).cast("decimal(10,2)"))
     return registry.avg_confidence(docs, exact)
 
 
 AVG_SQL = f"""
 WITH {S.RESULTS},
-a AS (SELECT doc_id, avg(coalesce(round(score, 2), 0)) AS m FROM res GROUP BY doc_id)
-SELECT o_orderkey AS doc_id, round(coalesce(m, 0)::DECIMAL(18, 9), 3)::DOUBLE AS avg_confidence FROM orders LEFT JOIN a ON a.doc_id = o_orderkey
+s AS (SELECT doc_id, sum(round(coalesce(score, 0) * 100)::BIGINT) AS c, count(*) AS n FROM res GROUP BY doc_id),
+a AS (SELECT doc_id, ((c * 20000 + n) // (n * 2) + 500) // 1000 AS m FROM s)
+SELECT o_orderkey AS doc_id, (coalesce(m, 0) / 1000)::DOUBLE AS avg_confidence FROM orders LEFT JOIN a ON a.doc_id = o_orderkey
 """
 
 
@@ -203,7 +204,7 @@ def format_display(spark: SparkSession, path: str) -> DataFrame:
 
 DISPLAY_SQL = """
 WITH d AS (SELECT doc_id, n_chars * 16 AS b FROM documents)
-SELECT 'document' AS kind, doc_id AS id, 0 AS part, CASE WHEN b >= 1048576 THEN printf('%.2f MB', b / 1048576) WHEN b >= 1024 THEN printf('%.2f KB', b / 1024)
+SELECT 'document' AS kind, doc_id AS id, 0 AS part, CASE WHEN b >= 1048576 THEN printf('%.2f MB', floor(b / 1048576 * 100 + 0.5) / 100) WHEN b >= 1024 THEN printf('%.2f KB', floor(b / 1024 * 100 + 0.5) / 100)
   WHEN b > 0 THEN printf('%.2f B', b::DOUBLE) ELSE '0 B' END AS shown FROM d
 UNION ALL
 SELECT 'score', l_orderkey, l_suppkey, CASE WHEN l_linenumber < 3 THEN

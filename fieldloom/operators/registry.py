@@ -43,7 +43,7 @@ def tier_percentages(tiers: DataFrame) -> DataFrame:
 
 def avg_confidence(docs: DataFrame, results: DataFrame) -> DataFrame:
     """Mean score per document, missing scores as zero, documents without results as zero."""
-    per_doc = results.groupBy("doc_id").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
+    per_doc = results.groupBy("doc_id").agg(F.avg(F.coalesce("score", F.lit(0))).alias("mean"))
     return docs.select("doc_id").join(per_doc, "doc_id", "left").select(
         "doc_id", F.round(F.coalesce("mean", F.lit(0.0)), 3).alias("avg_confidence")
     )

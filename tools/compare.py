@@ -62,8 +62,9 @@ def compare(spark, con, name, query, sql, sf_dir):
         return f"COLUMNS {name}: {got_cols} vs {want_cols}", False
     if got == want:
         return f"ok {name}: {len(got)} rows {took:.1f}s (sql {sql_took:.1f}s)", len(got) > 0
-    extra = [r for r in got if r not in set(want)][:2]
-    lack = [r for r in want if r not in set(got)][:2]
+    got_set, want_set = set(got), set(want)
+    extra = [r for r in got if r not in want_set][:2]
+    lack = [r for r in want if r not in got_set][:2]
     return f"DIFF {name}: {len(got)} vs {len(want)}\n  cols {got_cols}\n  spark {extra}\n  sql   {lack}", False
 
 
