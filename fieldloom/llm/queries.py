@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import jaccard
+from fieldloom.llm import jaccard, mixing, pii
 
 QUERIES = {
+    "op1_pii": pii.op1_pii,
+    "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_pii": pii.ORACLE,
+}
