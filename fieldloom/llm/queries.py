@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import jaccard, mixing, pii
+from fieldloom.llm import fingerprints, jaccard, licenses, mixing, pii
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op3_fingerprints": fingerprints.op3_fingerprints,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
