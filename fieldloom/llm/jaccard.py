@@ -10,10 +10,11 @@ by differently salted hashes) and verifies only pairs that meet under all of the
    documents of one chunk hold travel once with a count, so no token gathers its documents in one task.
    Back come, per document, its tokens that others hold too, and its prefixes under every order.
    A document whose prefix holds unique tokens alone can link with nothing and ends here.
-3. `hub_links`: no group is expanded into pairs. The smallest document of a bucket (its hub) is compared
-   with all others. If x does not link with the hub h, then x and any y of the bucket that link must share
-   a token outside h, because y is no smaller than h and |x ∩ h| is below what a link needs. So
-   only the members' tokens outside h form new buckets; this repeats until nothing new meets.
+3. `verified_links`: buckets of documents with a common prefix token are not expanded into pairs, but for
+   those of at most SMALL documents. In a larger one the document with most shared tokens (its hub) is compared
+   with all others. For the hub h, |x ∩ y| is at most min(|x ∩ h|, |y ∩ h|) + min(|x \ h|, |y \ h|), where only
+   shared tokens count outside h; members that links have not yet connected to the hub are paired with those
+   members for which this bound reaches what a link needs, and verified.
 4. `components`: alternating large and small stars over the verified links.
 """
 
@@ -25,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import shared
 from fieldloom.llm.shared import Scratch
 
 ORDERS = 2
+SMALL = 24  # documents of a bucket that is expanded into pairs
 PERCENT = 75
 WIDTH = 5
 CHUNK_TOKENS = 1 << 20  # tokens that travel together; bounds the memory of a task, not the result
@@ -46,10 +48,6 @@ def prefix_length(n: int) -> int:
     return n - (PERCENT * n + 99) // 100 + 1
 
 
-def links(inter: int, n: int, m: int) -> bool:
-    return 100 * inter >= PERCENT * (n + m - inter)
-
-
 def _planes(a: np.ndarray) -> bytes:
     """Bytes of sorted integers, most significant ones together: they repeat and compress."""
     return a.astype(">u8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -208,88 +206,96 @@ def rare_first(docs: DataFrame, buckets: int) -> DataFrame:
     return counted.groupBy("chunk").applyInArrow(_prefixes, PREFIXED)
 
 
-# ------------------------------------------------------------------------------ hubs
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+# ------------------------------------------------------------------------------ verification
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        linked, outside = [], []
-        columns = (batch.column(k).to_pylist() for k in ("n", "hub_n", "tokens", "hub_tokens"))
-        for n, hub_n, tokens, hub_tokens in zip(*columns):
-            if tokens is None:
-                linked.append(False)
-                outside.append(None)
-                continue
-            mine = np.frombuffer(tokens, np.uint64)
-            common = np.isin(mine, np.frombuffer(hub_tokens, np.uint64), assume_unique=True)
-            linked.append(links(int(common.sum()), n, hub_n))
-            outside.append(mine[~common].astype(np.int64))
+        sizes = [
+            int(np.isin(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).sum())
+            for x, y in zip(batch.column("a_tokens").to_pylist(), batch.column("b_tokens").to_pylist())
+        ]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("hub"), batch.column("doc_id"), batch.column("full"), pa.array(linked, pa.bool_()),
-             pa.array(outside, pa.list_(pa.int64()))],
-            ["hub", "doc_id", "full", "linked", "outside"],
+            [batch.column("a"), batch.column("b"), batch.column("hub"), pa.array(sizes, pa.int32())], ["a", "b", "hub", "common"]
         )
 
 
-def _meetings(rows: DataFrame, scratch: Scratch, *bucket: str) -> DataFrame:
-    """Members of each open bucket with its hub, the smallest set: hub, doc_id, alone (no third member)."""
-    hubs = scratch.keep(rows.groupBy(*bucket).agg(
-        F.min_by("doc_id", F.struct("n", "doc_id")).alias("hub"), F.count(F.lit(1)).alias("members"),
-        F.bool_and("linked").alias("closed"),
-    ).filter((F.col("members") > 1) & ~F.col("closed")).drop("closed"))
-    met = rows.select(*bucket, "doc_id").join(hubs, list(bucket)).filter("doc_id != hub")
-    return met.groupBy("hub", "doc_id").agg(F.bool_and(F.col("members") == 2).alias("alone"))
-
-
-def hub_links(prefixed: DataFrame, scratch: Scratch) -> DataFrame:
-    """Verified links (hub, doc_id): enough of them to connect whatever links connect."""
-    sizes = prefixed.select("doc_id", "n")
-    orders = [f"p{k}" for k in range(1, ORDERS)]
-    sets = prefixed.select("doc_id", "n", "tokens", *orders)
-    hub_sets = prefixed.select(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n"), F.col("tokens").alias("hub_tokens"),
-                               *[F.col(p).alias(f"hub_{p}") for p in orders])
-    meets_all = 4 * F.least("n", "hub_n") >= 3 * F.greatest("n", "hub_n")
-    for p in orders:
-        meets_all = meets_all & F.arrays_overlap(p, f"hub_{p}")
-    start = prefixed.select("doc_id", "n", F.explode("p0").alias("token"), F.lit(False).alias("linked"))
-    todo = scratch.keep(_meetings(start, scratch, "token"))
-    known = None
-    while not todo.isEmpty():
-        pairs = todo.join(sets, "doc_id").join(hub_sets, "hub")
-        # A pair that misses a filter does not link. Its tokens are needed where others met the same hub.
-        passed = ~F.col("alone") | meets_all
-        seen = scratch.keep(pairs.select(
-            "hub", "doc_id", "n", "hub_n", passed.alias("full"),
-            *[F.when(passed, F.col(c)).alias(c) for c in ("tokens", "hub_tokens")],
-        ).mapInArrow(_compared, "hub long, doc_id long, full boolean, linked boolean, outside array<long>"))
-        known = seen if known is None else known.unionByName(seen)
-        # Hubs with a member that does not link stay open: their members meet again on tokens outside the hub.
-        open_hubs = scratch.keep(
-            known.groupBy("hub").agg(F.bool_and("linked").alias("done"), F.count(F.lit(1)).alias("c"))
-            .filter("NOT done AND c > 1").select("hub")
-        )
-        rows = known.join(open_hubs, "hub").join(sizes, "doc_id").select(
-            F.col("hub").alias("of"), "doc_id", "n", "linked", F.explode("outside").alias("token")
-        )
-        again, asked = _meetings(rows, scratch, "of", "token"), known.select(
-            F.col("hub").alias("h"), F.col("doc_id").alias("d"), "full"
-        )
-        todo = scratch.keep(again.join(
-            asked, (F.col("hub") == F.col("h")) & (F.col("doc_id") == F.col("d")) & (F.col("full") | F.col("alone")), "left_anti"
-        ))
-    if known is None:
-        return sizes.select(F.col("doc_id").alias("hub"), "doc_id").limit(0)
-    return known.filter("linked").select("hub", "doc_id")
+def _of(df: DataFrame, side: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(side if c == "doc_id" else f"{side}_{c}") for c in df.columns])
+
+
+def _needed(n: Column, m: Column) -> Column:
+    """The smallest overlap that links sets of these sizes."""
+    return F.ceil(PERCENT * (n + m) / (100 + PERCENT))
+
+
+def _meetings(slim: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs a, b to compare: all pairs of small buckets, the hub with all others of large ones (hub = true)."""
+    rows = slim.select("doc_id", F.explode("p0").alias("token"), "shared")
+    buckets = scratch.keep(rows.groupBy("token").agg(
+        F.max_by("doc_id", F.struct("shared", -F.col("doc_id"))).alias("top"), F.count(F.lit(1)).alias("members")
+    ).filter("members > 1"))
+    large = rows.join(buckets.filter(F.col("members") > SMALL), "token").filter("doc_id != top")
+    small = rows.join(buckets.filter(F.col("members") <= SMALL), "token").groupBy("token").agg(F.array_sort(F.collect_list("doc_id")).alias("ids"))
+    pairs = small.select(F.explode(F.flatten(F.transform("ids", lambda x, i: F.transform(
+        F.slice("ids", i + 2, F.lit(SMALL)), lambda y: F.struct(x.alias("a"), y.alias("b"))
+    )))).alias("p")).select("p.*", F.lit(False).alias("hub"))
+    hubs = large.select(F.col("top").alias("a"), F.col("doc_id").alias("b"), F.lit(True).alias("hub"))
+    return pairs.unionByName(hubs).groupBy("a", "b").agg(F.bool_or("hub").alias("hub"))
+
+
+def _compare(pairs: DataFrame, slim: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """a, b, hub, common of the pairs that pass every order's filter; pairs with a hub are compared in any case."""
+    sides = slim.select("doc_id", "n", "shared", *[f"p{k}" for k in range(1, ORDERS)])
+    both = pairs.join(_of(sides, "a"), "a").join(_of(sides, "b"), "b")
+    passes = _needed(F.col("a_n"), F.col("b_n")) <= F.least("a_shared", "b_shared")
+    for k in range(1, ORDERS):
+        passes = passes & F.arrays_overlap(f"a_p{k}", f"b_p{k}")
+    left = scratch.keep(both.filter(F.col("hub") | passes).select("a", "b", "hub"))
+    tokens = sets.select("doc_id", "tokens")
+    return scratch.keep(left.join(_of(tokens, "a"), "a").join(_of(tokens, "b"), "b").mapInArrow(_common, "a long, b long, hub boolean, common int"))
+
+
+def _linked(compared: DataFrame, slim: DataFrame) -> DataFrame:
+    n = slim.select("doc_id", "n")
+    both = compared.join(_of(n, "a"), "a").join(_of(n, "b"), "b")
+    return both.filter(100 * F.col("common") >= PERCENT * (F.col("a_n") + F.col("b_n") - F.col("common"))).select("a", "b")
+
+
+def verified_links(raw: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verified links a, b between the kept documents: enough of them to connect whatever links connect."""
+    slim = raw.select("doc_id", "n", (F.length("tokens") / 8).cast("int").alias("shared"), *[f"p{k}" for k in range(ORDERS)])
+    slim = scratch.keep(slim.join(kept, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id"]))
+    met = scratch.keep(_meetings(slim, scratch))
+    members = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = scratch.keep(raw.join(members, "doc_id", "left_semi").join(kept, ["doc_id", "n"], "left_semi").select("doc_id", "tokens").dropDuplicates(["doc_id"]))
+    compared = _compare(met, slim, sets, scratch)
+    links = scratch.keep(_linked(compared, slim))
+
+    # Members of large buckets that are not connected to their hub, against the members they may still link with.
+    label = components(links, scratch).select(F.col("node").alias("doc_id"), "label")
+    named = slim.select("doc_id", "n", "shared").join(label, "doc_id", "left").select("doc_id", "n", "shared", F.coalesce("label", "doc_id").alias("label"))
+    group = compared.filter("hub").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.col("common").alias("inside"))
+    group = group.join(named, "doc_id").join(named.select(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label")), "hub")
+    group = scratch.keep(group.withColumn("outside", F.col("shared") - F.col("inside")).withColumn("open", F.col("label") != F.col("hub_label")))
+    x, y = _of(group.drop("hub_label"), "a"), _of(group.drop("hub_label"), "b")
+    bound = F.least("a_inside", "b_inside") + F.least("a_outside", "b_outside")
+    more = x.filter("a_open").join(y, F.col("a_hub") == F.col("b_hub")).filter(
+        (F.col("a_label") != F.col("b_label")) & (~F.col("b_open") | (F.col("a") < F.col("b")))
+        & (_needed(F.col("a_n"), F.col("b_n")) <= bound)
+    )
+    more = scratch.keep(more.select("a", "b", F.lit(False).alias("hub")).distinct())
+    return links.unionByName(_linked(_compare(more, slim, sets, scratch), slim))
 
 
 # ------------------------------------------------------------------------------ components
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, label (smallest node of its component) for nodes of (hub, doc_id) edges; stars by min, no collected group."""
+    """node, label (smallest node of its component) for nodes of edges a, b; stars by min, no collected group."""
     def largest_first(e: DataFrame) -> DataFrame:
         return e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first())
 
-    edges = scratch.keep(largest_first(edges.select(F.col("hub").alias("u"), F.col("doc_id").alias("v"))))
+    edges = scratch.keep(largest_first(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
     seen = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -324,10 +330,9 @@ def jaccard_components(docs: DataFrame, spark: SparkSession | None = None) -> Da
     known = scratch.keep(sizes.join(firsts, "set_key", "left"))
     # Copies leave here: the smallest doc_id stands for its set.
     kept = known.filter("first = doc_id").select("doc_id", "n").distinct()
-    prefixed = rare_first(docs, buckets).join(kept, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"])
-    edges = hub_links(scratch.keep(prefixed), scratch)
+    edges = verified_links(scratch.keep(rare_first(docs, buckets)), kept, scratch)
     twice = known.filter("first IS NOT NULL").groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("b")).filter("a != b")
-    edges = edges.unionByName(twice.select(F.col("a").alias("hub"), F.col("b").alias("doc_id")))
+    edges = edges.unionByName(twice.select("a", "b"))
     labels = components(edges, scratch)
     start = F.coalesce("first", "doc_id")
     return known.withColumn("node", start).join(labels, "node", "left").select(

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import fingerprints, jaccard, licenses, mixing, pii
+from fieldloom.llm import contamination, fingerprints, jaccard, licenses, mixing, pii, substrings
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
+    "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op5_benchmark_decontamination": contamination.op5_benchmark_decontamination,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
