@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import contamination, fingerprints, jaccard, licenses, mixing, pii, substrings
+from fieldloom.llm import contamination, fingerprints, jaccard, licenses, mixing, pii, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_fingerprints": fingerprints.op3_fingerprints,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_benchmark_decontamination": contamination.op5_benchmark_decontamination,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
