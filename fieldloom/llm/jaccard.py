@@ -1,4 +1,4 @@
-"""N-gram Jaccard join: multiple-global-order prefix filters, hub verification, components.
+r"""N-gram Jaccard join: multiple-global-order prefix filters, hub verification, components.
 
 Two texts link when their sets of five-word shingles have a Jaccard index of at least 0.75. A text
 that links with another shares at least one token of its prefix with it, whatever total order of all
@@ -13,7 +13,7 @@ by differently salted hashes) and verifies only pairs that meet under all of the
 3. `verified_links`: buckets of documents with a common prefix token are not expanded into pairs, but for
    those of at most SMALL documents. In a larger one the document with most shared tokens (its hub) is compared
    with all others. For the hub h, |x ∩ y| is at most min(|x ∩ h|, |y ∩ h|) + min(|x \ h|, |y \ h|), where only
-   shared tokens count outside h; members that links have not yet connected to the hub are paired with those
+   tokens that two members of the bucket share count outside h; members that links have not yet connected to the hub are paired with those
    members for which this bound reaches what a link needs, and verified.
 4. `components`: alternating large and small stars over the verified links.
 """
@@ -209,12 +209,15 @@ def rare_first(docs: DataFrame, buckets: int) -> DataFrame:
 # ------------------------------------------------------------------------------ verification
 def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes = [
-            int(np.isin(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True).sum())
-            for x, y in zip(batch.column("a_tokens").to_pylist(), batch.column("b_tokens").to_pylist())
-        ]
+        sizes, outside = [], []
+        for x, y, hub in zip(*(batch.column(c).to_pylist() for c in ("a_tokens", "b_tokens", "hub"))):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.isin(y, x, assume_unique=True)
+            sizes.append(int(both.sum()))
+            outside.append(y[~both].astype(np.int64) if hub else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("a"), batch.column("b"), batch.column("hub"), pa.array(sizes, pa.int32())], ["a", "b", "hub", "common"]
+            [batch.column("a"), batch.column("b"), batch.column("hub"), pa.array(sizes, pa.int32()), pa.array(outside, pa.list_(pa.int64()))],
+            ["a", "b", "hub", "common", "outside"],
         )
 
 
@@ -251,7 +254,7 @@ def _compare(pairs: DataFrame, slim: DataFrame, sets: DataFrame, scratch: Scratc
         passes = passes & F.arrays_overlap(f"a_p{k}", f"b_p{k}")
     left = scratch.keep(both.filter(F.col("hub") | passes).select("a", "b", "hub"))
     tokens = sets.select("doc_id", "tokens")
-    return scratch.keep(left.join(_of(tokens, "a"), "a").join(_of(tokens, "b"), "b").mapInArrow(_common, "a long, b long, hub boolean, common int"))
+    return scratch.keep(left.join(_of(tokens, "a"), "a").join(_of(tokens, "b"), "b").mapInArrow(_common, "a long, b long, hub boolean, common int, outside array<long>"))
 
 
 def _linked(compared: DataFrame, slim: DataFrame) -> DataFrame:
@@ -275,7 +278,11 @@ def verified_links(raw: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFra
     named = slim.select("doc_id", "n", "shared").join(label, "doc_id", "left").select("doc_id", "n", "shared", F.coalesce("label", "doc_id").alias("label"))
     group = compared.filter("hub").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.col("common").alias("inside"))
     group = group.join(named, "doc_id").join(named.select(F.col("doc_id").alias("hub"), F.col("label").alias("hub_label")), "hub")
-    group = scratch.keep(group.withColumn("outside", F.col("shared") - F.col("inside")).withColumn("open", F.col("label") != F.col("hub_label")))
+    beyond = compared.filter("hub").select(F.col("a").alias("hub"), F.col("b").alias("doc_id"), F.explode("outside").alias("token"))
+    twice = scratch.keep(beyond.groupBy("hub", "token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
+    beyond = beyond.join(twice, ["hub", "token"]).groupBy("hub", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("outside"))
+    group = group.join(beyond, ["hub", "doc_id"], "left").fillna(0, ["outside"])
+    group = scratch.keep(group.withColumn("open", F.col("label") != F.col("hub_label")))
     x, y = _of(group.drop("hub_label"), "a"), _of(group.drop("hub_label"), "b")
     bound = F.least("a_inside", "b_inside") + F.least("a_outside", "b_outside")
     more = x.filter("a_open").join(y, F.col("a_hub") == F.col("b_hub")).filter(
