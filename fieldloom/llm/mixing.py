@@ -15,7 +15,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from fieldloom.llm import shared
@@ -131,8 +130,13 @@ def rounded(units: DataFrame, scratch: Scratch) -> DataFrame:
     return decided if decided is not None else units.select("id", F.lit(0).alias("taken")).limit(0)
 
 
+def row_hash() -> Column:
+    """What tells rows apart."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+
+
 def mix_sources(docs: DataFrame, spark: SparkSession | None = None, weights: tuple = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, copies (0 … most), taken (size × copies): one row per input row.
+    """doc_id, row_hash, size, source_size, target, copies (0 … most), taken (size × copies): one row per input row.
 
     * Null and empty texts have size 0 and are taken 0 times; a null source is a source, ranked last.
     * Rows are told apart by doc_id, source and text, so null or repeated doc_ids are served too; rows that
@@ -142,7 +146,7 @@ def mix_sources(docs: DataFrame, spark: SparkSession | None = None, weights: tup
     spark = spark or docs.sparkSession
     scratch = Scratch(spark, "mixing")
     own = docs.select("doc_id", F.col("source").cast("string"), word_count(F.col("text")).alias("size"),
-                      F.xxhash64("doc_id", "source", "text").alias("id"))
+                      row_hash().alias("id"))
     own = scratch.keep(own)
     sources = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = scratch.keep(targets(sources, scratch, weights, most).select(F.col("source").alias("of"), "source_size", "target"))
@@ -154,7 +158,7 @@ def mix_sources(docs: DataFrame, spark: SparkSession | None = None, weights: tup
     copies = F.least(F.col("whole") + F.coalesce("taken", F.lit(0)), F.lit(most)).cast("int")
     copies = F.when(F.col("size") > 0, copies).otherwise(0)
     return planned.join(extra, "id", "left").select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
+        "doc_id", F.col("id").alias("row_hash"), "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
     )
 
 

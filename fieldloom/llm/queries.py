@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import contamination, fingerprints, jaccard, licenses, mixing, pii, substrings, token_counts, toxicity
+from fieldloom.llm import contamination, fingerprints, html_text, jaccard, licenses, mixing, pii, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_benchmark_decontamination": contamination.op5_benchmark_decontamination,
+    "op6_html_text": html_text.op6_html_text,
     "op7_token_counts": token_counts.op7_token_counts,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,

@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fieldloom.llm import shared
 
@@ -217,7 +218,7 @@ def _scored(field) -> object:
             done = [tag(field.value, part) for part in _slices(batch.column("text").to_pylist())]
             scores = np.concatenate([np.zeros(0)] + [x for x, _ in done])
             spans = pa.array([s for _, part in done for s in part], SPANS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores), spans], ["doc_id", "text", "score", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores), spans], ["row", "score", "spans"])
 
     return score
 
@@ -242,20 +243,26 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS) -> Fie
 
 
 def score_toxicity(docs: DataFrame, field: Field, spark: SparkSession | None = None) -> DataFrame:
-    """doc_id, text, score (0 to 1) and spans (start, end in code points, p) of tokens that are likelier toxic than not.
+    """row (a struct of all columns), score (0 to 1) and spans (start, end in code points, p) of tokens that are likelier toxic than not.
 
     * Null and empty texts have no tokens: no spans, and the score of a document without toxic tokens.
     * The score depends on the text alone, so repeated rows and equal texts score alike; null doc_ids are served.
-    * Columns besides doc_id and text are ignored. An empty table gives an empty result.
+    * Other columns travel inside ``row``, so their names cannot clash. An empty table gives an empty result.
     """
     spark = spark or docs.sparkSession
     sent = spark.sparkContext.broadcast(field)  # arrays of fixed size
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(_scored(sent), "doc_id long, text string, score double, spans array<struct<start:int,end:int,p:double>>")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([
+        T.StructField("row", rows.schema["row"].dataType), T.StructField("score", T.DoubleType()),
+        T.StructField("spans", T.ArrayType(T.StructType([
+            T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType()),
+        ]))),
+    ])
+    return rows.mapInArrow(_scored(sent), schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels")
-    found = score_toxicity(docs, fit_on(docs, labels), spark)
+    found = score_toxicity(docs.select(F.col("doc_id").cast("long"), "text"), fit_on(docs, labels), spark).select("row.doc_id", "score", "spans")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
                         F.size("spans").alias("n_spans"))
