@@ -19,8 +19,8 @@ from fieldloom.functions.text import let
 from fieldloom.llm import shared
 
 SPACE = 1 << 32  # hashes are 32 bits
-FRACTION = 16  # one hash in so many is below the threshold
-FLOOR = 32
+FRACTION = 8  # one hash in so many is below the threshold
+FLOOR = 64
 WIDTH = 5
 
 
