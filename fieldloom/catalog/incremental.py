@@ -14,9 +14,12 @@ from fieldloom.sources.corpus import text_fingerprint
 from fieldloom.streaming import status
 
 
+PER_BATCH = 2  # files; tables of several part files run over several batches
+
+
 def _stream(spark: SparkSession, path: str, table: str) -> DataFrame:
     schema = getattr(Tables(spark, path), table).schema
-    return status.stream_parquet(spark, path, schema, glob=f"{table}.parquet")
+    return status.stream_parquet(spark, f"{path}/{table}.parquet", schema, per_batch=PER_BATCH)
 
 
 def status_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -40,22 +43,22 @@ def incremental_pages(spark: SparkSession, path: str) -> DataFrame:
     docs = _stream(spark, path, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
     for _ in range(2):  # the second run finds nothing new
         status.incremental_pages(docs, f"{folder}/out", f"{folder}/checkpoint", pages.split_pages).awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("doc_id", "page", F.length("text").alias("n"))
+    return status.read_batches(spark, f"{folder}/out", "doc_id long, page int, text string").drop("batch")
 
 
 def dedup_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """Copies among the documents, as uploads of one hour; which copy comes first is open."""
+    """Copies among the documents; which copy comes first is open. Event time is the arrival, so no row is late."""
     folder = run_folder(spark, "uploads")
     uploads = _stream(spark, path, "documents").select(
-        text_fingerprint("text", 32).alias("fingerprint"), F.timestamp_seconds(F.col("doc_id")).alias("ts"),
+        text_fingerprint("text", 32).alias("fingerprint"), F.current_timestamp().alias("ts"),
     )
-    status.dedup_stream(uploads, f"{folder}/out", f"{folder}/checkpoint", delay="3650 days").awaitTermination()
-    return spark.read.parquet(f"{folder}/out").select("fingerprint")
+    status.dedup_stream(uploads, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return status.read_batches(spark, f"{folder}/out", "fingerprint string").drop("batch")
 
 
 QUERIES = {"status_stream": status_stream, "incremental_pages": incremental_pages, "dedup_uploads": dedup_uploads}
 ORACLES = {
     "status_stream": STATUS_SQL,
-    "incremental_pages": f"WITH {S.LINES} SELECT doc_id, page, length(text) AS n FROM pg",
+    "incremental_pages": f"WITH {S.LINES} SELECT doc_id, page, text FROM pg",
     "dedup_uploads": "SELECT DISTINCT md5(text) AS fingerprint FROM documents",
 }

@@ -56,7 +56,7 @@ ROUTER_SUMMARY_SQL = f"""
 WITH {S.RENDERED}
 SELECT doc_id, string_agg('[Page ' || page || '] ' || replace(left({S.trim('body')}, 300), chr(10), ' '),
                           chr(10) ORDER BY page) AS summary
-FROM part WHERE page <= 15 GROUP BY doc_id
+FROM part GROUP BY doc_id
 """
 
 
@@ -159,8 +159,7 @@ def page_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 CHUNKS_SQL = f"""
 WITH {S.LINES},
-s AS (SELECT doc_id, page, text, unnest(generate_series(0, greatest(length(text) - 400, 0), 200)) AS start
-      FROM pg WHERE page <= 6),
+s AS (SELECT doc_id, page, text, unnest(generate_series(0, greatest(length(text) - 400, 0), 200)) AS start FROM pg),
 c AS (SELECT doc_id, page, start, {S.trim('substr(text, start + 1, 400)')} AS chunk FROM s)
 SELECT doc_id, page, start, chunk FROM c WHERE length(chunk) >= 40
 """

@@ -41,7 +41,7 @@ kw AS (SELECT key_id, subtype, {S.words("key_name || ' ' || key_desc")} AS ws FR
 lw AS (SELECT doc_id, source, page, {S.words('raw')} AS ws FROM ln),
 sc AS (SELECT doc_id, key_id, page, len(list_intersect(lw.ws, kw.ws)) AS overlap FROM lw JOIN kw ON kw.subtype = lw.source),
 best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id, key_id ORDER BY overlap DESC, page) = 1),
-firsts AS (SELECT doc_id, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages FROM ln WHERE page <= 6 GROUP BY doc_id)
+firsts AS (SELECT doc_id, string_agg(page::VARCHAR, ',' ORDER BY page) AS pages FROM ln GROUP BY doc_id)
 SELECT doc_id, key_id, CASE WHEN overlap > 0 THEN page - 1 END AS section_idx, overlap,
        CASE WHEN overlap > 0 THEN page::VARCHAR ELSE firsts.pages END AS pages, overlap = 0 AS nowhere
 FROM best JOIN firsts USING (doc_id)
@@ -235,9 +235,9 @@ sc AS (SELECT doc_id, key_id, page, i, snippet,
          CASE WHEN page = 2 THEN 3 ELSE 1 END + CASE WHEN regexp_matches(snippet, '{_boundaries(P.DEFINITION_SIGNAL)}') THEN 2 ELSE 0 END
          + CASE WHEN contains(lower(snippet), lower(key_name)) THEN 1 ELSE 0 END AS score
        FROM cut JOIN kw ON kw.subtype = cut.source
-       WHERE length(snippet) BETWEEN 20 AND 600 AND (len(ws) = 0 OR len(list_filter(ws, lambda w: contains(lower(snippet), w))) > 0)),
+       WHERE length(snippet) >= 1 AND (len(ws) = 0 OR len(list_filter(ws, lambda w: contains(lower(snippet), w))) > 0)),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key_id ORDER BY score DESC, page <> 2, page, i) AS n FROM sc),
-u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, key_id, left(snippet, 80) ORDER BY n) = 1)
+u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, key_id, snippet ORDER BY n) = 1)
 SELECT doc_id, key_id, row_number() OVER (PARTITION BY doc_id, key_id ORDER BY n) AS rank, score, page, snippet
 FROM u QUALIFY rank <= 8
 """
@@ -254,7 +254,7 @@ BROADER_SQL = f"""
 WITH {S.LINES}
 SELECT d.doc_id, coalesce(string_agg(page::VARCHAR, ',' ORDER BY page), '') AS next_pages,
        coalesce(string_agg('[Page ' || page || ']' || chr(10) || raw, chr(10) || chr(10) ORDER BY page), '') AS page_text
-FROM documents d LEFT JOIN ln ON ln.doc_id = d.doc_id AND page BETWEEN 3 AND 6 GROUP BY d.doc_id
+FROM documents d LEFT JOIN ln ON ln.doc_id = d.doc_id AND page >= 3 GROUP BY d.doc_id
 """
 
 
@@ -264,7 +264,7 @@ def validator_context(spark: SparkSession, path: str) -> DataFrame:
 
 VALIDATOR_SQL = f"""
 WITH {S.RENDERED}
-SELECT r.doc_id, left('[Page 1]' || chr(10) || pg.text || chr(10) || chr(10) || left(r.text, 3000), 6000) AS context
+SELECT r.doc_id, '[Page 1]' || chr(10) || pg.text || chr(10) || chr(10) || r.text AS context
 FROM rendered r JOIN pg ON pg.doc_id = r.doc_id AND page = 1
 """
 
@@ -276,7 +276,7 @@ def page_snippet(spark: SparkSession, path: str) -> DataFrame:
 SNIPPET_SQL = f"""
 WITH {S.RENDERED},
 s AS (SELECT doc_id, text, string_split_regex(text, '(?i)PAGE\\s+2\\b') AS p FROM rendered)
-SELECT doc_id, CASE WHEN len(p) > 1 THEN substr(text, length(p[1]) + 1, 4000) ELSE left(text, 4000) END AS snippet FROM s
+SELECT doc_id, CASE WHEN len(p) > 1 THEN substr(text, length(p[1]) + 1) ELSE text END AS snippet FROM s
 """
 
 

@@ -211,7 +211,7 @@ def error_rows(spark: SparkSession, path: str) -> DataFrame:
 ERROR_SQL = """
 WITH e AS (SELECT *, event_type = 'error' AS failed FROM events)
 SELECT event_id, CASE WHEN NOT failed THEN props END AS value, CASE WHEN failed THEN 0.0 ELSE 0.9 END::DOUBLE AS score,
-  CASE WHEN failed THEN 'Error: ' || left('boom ' || repeat('x', 120), 100) ELSE 'fine' END AS reason,
+  CASE WHEN failed THEN 'Error: ' || 'boom ' || repeat('x', 120) ELSE 'fine' END AS reason,
   CASE WHEN failed THEN 'error' ELSE 'table' END AS found_in FROM e
 """
 

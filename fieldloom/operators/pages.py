@@ -36,12 +36,13 @@ def page_array(text: Column | str, marker: str = P.PAGE_MARKER) -> Column:
 
 
 def _marked_pages(text: Column, marker: str) -> Column:
-    """Pages as marked, repeats included; empty without a marker."""
+    """Pages as marked, repeats included; empty without a marker. Numbers beyond an int are no page numbers: such pages leave."""
     def cut(numbers: Column) -> Column:
         bodies = F.slice(F.split(text, marker, -1), F.lit(2), F.size(numbers))
-        return F.zip_with(
+        pages = F.zip_with(
             numbers, bodies, lambda n, body: F.struct(n.try_cast("int").alias("page"), strip(body).alias("text"))
         )
+        return F.filter(pages, lambda p: p["page"].isNotNull())
 
     return let(F.regexp_extract_all(text, F.lit(marker), F.lit(1)), cut)
 
@@ -119,9 +120,9 @@ def page_summary(docs: DataFrame, max_chars: int = 350, marker: str = P.PAGE_MAR
 
 
 def router_summary(
-    docs: DataFrame, max_chars: int = 300, max_pages: int = 15, unpaged_chars: int = 500
+    docs: DataFrame, max_chars: int = 300, max_pages: int | None = None, unpaged_chars: int | None = None
 ) -> DataFrame:
-    """Shorter summary: the first pages only, each preview starting at its marker."""
+    """Shorter summary, each preview starting at its marker; on demand of the first pages or characters only."""
     text = F.col("text")
 
     def lines(markers: Column) -> Column:
@@ -131,9 +132,9 @@ def router_summary(
             preview = F.replace(clip(strip(body), max_chars), F.lit("\n"), F.lit(" "))
             return F.concat(F.lit("[Page "), m["page"].cast("string"), F.lit("] "), preview)
 
-        return F.array_join(F.transform(F.slice(markers, 1, max_pages), line), "\n")
+        return F.array_join(F.transform(markers if max_pages is None else F.slice(markers, 1, max_pages), line), "\n")
 
-    summary = F.when(text.rlike(P.PAGE_MARKER), let(marker_array("text"), lines)).otherwise(clip(text, unpaged_chars))
+    summary = F.when(text.rlike(P.PAGE_MARKER), let(marker_array("text"), lines)).otherwise(text if unpaged_chars is None else clip(text, unpaged_chars))
     return docs.select("doc_id", summary.alias("summary"))
 
 
@@ -263,10 +264,10 @@ def total_pages(docs: DataFrame, marker: str = P.PAGE_MARKER) -> DataFrame:
 
 
 def page_chunks(
-    docs: DataFrame, size: int = 400, stride: int = 200, max_pages: int = 6, min_chars: int = 40,
+    docs: DataFrame, size: int = 400, stride: int = 200, max_pages: int | None = None, min_chars: int = 40,
     unpaged: bool = True, marker: str = P.PAGE_MARKER,
 ) -> DataFrame:
-    """Overlapping windows over the first marked pages.
+    """Overlapping windows over the marked pages, on demand over the first ones only.
 
     ``unpaged=True`` also chunks a document without markers (as page 1).
     """
@@ -277,7 +278,7 @@ def page_chunks(
         marked = F.when(text.rlike(marker), marked).otherwise(lone)
     starts = F.sequence(F.lit(0), F.greatest(F.length("body") - size, F.lit(0)), F.lit(stride))
     return (
-        docs.select("doc_id", F.posexplode_outer(F.slice(marked, 1, max_pages)).alias("page_idx", "p"))
+        docs.select("doc_id", F.posexplode_outer(marked if max_pages is None else F.slice(marked, 1, max_pages)).alias("page_idx", "p"))
         .filter(F.col("p").isNotNull())
         .select("doc_id", "page_idx", F.col("p.page").alias("page"), F.col("p.text").alias("body"))
         .select("doc_id", "page_idx", "page", "body", F.explode(starts).alias("start"))

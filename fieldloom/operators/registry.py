@@ -103,9 +103,9 @@ def step_timings(log: DataFrame, slow: float = SLOW_SECONDS) -> DataFrame:
 
 # ------------------------------------------------------------------------------- listings
 def list_documents(
-    registry: DataFrame, search: str = "", status: str = "", limit: int = 100, match_id: bool = False
+    registry: DataFrame, search: str = "", status: str = "", limit: int | None = None, match_id: bool = False
 ) -> DataFrame:
-    """Newest first. The limit is the page size of the listing."""
+    """Newest first; all of them, or the first ``limit``: a listing's page size."""
     out = registry
     if search:
         hit = F.contains(F.lower("name"), F.lit(search.lower()))
@@ -114,7 +114,8 @@ def list_documents(
         out = out.filter(hit)
     if status and status != "all":
         out = out.filter(F.col("status") == status)
-    return out.orderBy(F.desc("created_at"), "id").limit(limit)
+    out = out.orderBy(F.desc("created_at"), "id")
+    return out if limit is None else out.limit(limit)
 
 
 def get_document(registry: DataFrame, doc_id) -> DataFrame:

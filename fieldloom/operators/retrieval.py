@@ -14,11 +14,27 @@ from fieldloom.functions.text import (
     WORD, as_col, blank_to_null, clip, count_char, let, match_spans, span, strip, words,
 )
 from fieldloom.operators.pages import marker_array, page_array, page_at, page_text
-from fieldloom.sizing import fits_broadcast
 
 SCORE_DIGITS = 12
 
 
+# ------------------------------------------------------------------------------- pairing
+SALTS = 64
+
+
+def with_template_keys(docs: DataFrame, keys: DataFrame, on: str | None = "subtype", salts: int = SALTS) -> DataFrame:
+    """Documents joined to the keys of their template, or to all keys without ``on``.
+
+    Templates are few, so one may hold most documents: documents are dealt to ``salts`` parts, and
+    every part gets the keys. The part is a join key that never folds to a constant, so the join
+    stays an equi-join even where all documents have the same template. The hint keeps Spark from
+    replicating the documents, which would leave the work on them to the few tasks of the keys.
+    """
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
+    dealt = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return docs.withColumn("_part", part).hint("merge").join(dealt, [*([on] if on else []), "_part"]).drop("_part")
+
+
 # ------------------------------------------------------------------------------- routing
 def section_words(sections: Column) -> Column:
     return F.transform(
@@ -27,8 +43,8 @@ def section_words(sections: Column) -> Column:
     )
 
 
-def routed(sections: Column, tokens: Column, key_words: Column, all_pages: Column) -> Column:
-    """Section sharing most words with the key; the first one on ties; else the first six pages."""
+def routed(sections: Column, tokens: Column, key_words: Column, all_pages: Column, fallback: int | None = None) -> Column:
+    """Section sharing most words with the key; the first one on ties; else all pages, or the first ``fallback``."""
     def out(idx, topic, pages, kind, score) -> Column:
         return F.struct(
             idx.alias("section_idx"), topic.alias("topic"), pages.alias("pages"),
@@ -39,7 +55,7 @@ def routed(sections: Column, tokens: Column, key_words: Column, all_pages: Colum
         best = F.coalesce(F.array_max(scores), F.lit(0))
         at = F.array_position(scores, best).cast("int") - 1
         hit = F.get(sections, at)
-        nowhere = out(F.lit(None).cast("int"), F.lit("Full Document"), F.slice(all_pages, 1, 6),
+        nowhere = out(F.lit(None).cast("int"), F.lit("Full Document"), all_pages if fallback is None else F.slice(all_pages, 1, fallback),
                       F.lit("paragraph"), F.lit(0))
         return F.when(best > 0, out(at, hit["topic"], hit["pages"], hit["type"], best)).otherwise(nowhere)
 
@@ -55,7 +71,7 @@ def route_keys(docs: DataFrame, keys: DataFrame, on: str = "subtype") -> DataFra
     """
     prepared = docs.withColumn("tokens", section_words(F.col("sections")))
     key_words = words(F.concat(F.col("key_name"), F.lit(" "), F.coalesce("key_desc", F.lit(""))))
-    paired = prepared.join(keys.withColumn("key_words", key_words), on)
+    paired = with_template_keys(prepared, keys.withColumn("key_words", key_words), on)
     route = routed(F.col("sections"), F.col("tokens"), F.col("key_words"), F.col("page_numbers"))
     return paired.select("doc_id", "key_id", route.alias("r")).select("doc_id", "key_id", "r.*")
 
@@ -155,57 +171,39 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int):
     return rows[keep], cols[keep]
 
 
-def _scan(vectors: DataFrame, chunk: pd.DataFrame, k: int) -> DataFrame:
-    """Partial top k per task: block product against the replicated query matrix."""
-    shared = vectors.sparkSession.sparkContext.broadcast(
-        (chunk["query_id"].to_numpy(), _matrix(chunk["embedding"]))
-    )
+def _nearest(k: int):
+    """Top k vectors of one part for one block of queries."""
+    def top(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(vectors):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        sizes = {len(v) for v in (*queries["embedding"], *vectors["embedding"])}
+        if len(sizes) > 1:
+            raise ValueError(f"embeddings of different lengths: {sorted(sizes)[:5]}")
+        scores = np.round(_matrix(queries["embedding"]) @ _matrix(vectors["embedding"]).T, SCORE_DIGITS)
+        rows, cols = _best(scores, vectors["vec_id"].to_numpy(), k)
+        return pd.DataFrame({
+            "query_id": queries["query_id"].to_numpy()[rows], "vec_id": vectors["vec_id"].to_numpy()[cols], "score": scores[rows, cols],
+        })
 
-    def local_top(batches):
-        query_ids, queries = shared.value
-        held = None
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            scores = np.round(queries @ _matrix(batch["embedding"]).T, SCORE_DIGITS)
-            rows, cols = _best(scores, batch["vec_id"].to_numpy(), k)
-            part = pd.DataFrame({
-                "q": rows, "vec_id": batch["vec_id"].to_numpy()[cols], "score": scores[rows, cols],
-            })
-            held = part if held is None else pd.concat([held, part])
-            held = held.sort_values(["q", "score", "vec_id"], ascending=[True, False, True]).groupby("q").head(k)
-        if held is not None:
-            yield pd.DataFrame({
-                "query_id": query_ids[held["q"].to_numpy()],
-                "vec_id": held["vec_id"].to_numpy(), "score": held["score"].to_numpy(),
-            })
-
-    return vectors.select("vec_id", "embedding").mapInPandas(
-        local_top, "query_id long, vec_id long, score double"
-    )
+    return top
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 3, max_queries: int = 4096) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 3, block: int = 4096, part: int = 32_768) -> DataFrame:
     """Exact top k by cosine: ``query_id, rank, vec_id, score``.
 
-    ``vectors``: vec_id, embedding. ``queries``: query_id, embedding. Each task keeps k rows per
-    query, so what is shuffled depends on k and the number of tasks, not on the vectors. Query
-    sets above ``max_queries`` are answered chunk by chunk, each chunk by its own scan.
+    ``vectors``: vec_id, embedding. ``queries``: query_id, embedding; rows without an embedding are
+    left out, embeddings of different lengths are an error. Queries are cut into blocks and vectors
+    into parts, by hash and of about so many rows; each block meets each part in one task, which
+    keeps k rows per query. Both are read once whatever their number; none passes through the driver.
     """
-    head = queries.select("query_id", "embedding").limit(max_queries + 1).toPandas()
-    if len(head) == 0:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if len(head) <= max_queries:
-        found = _scan(vectors, head, k)
-    else:
-        n_chunks = -(-queries.count() * 2 // max_queries)
-        part = F.pmod(F.xxhash64("query_id"), F.lit(n_chunks))
-        found = None
-        for i in range(n_chunks):
-            chunk = queries.filter(part == i).select("query_id", "embedding").toPandas()
-            if len(chunk):
-                one = _scan(vectors, chunk, k)
-                found = one if found is None else found.unionByName(one)
+    vectors = vectors.select("vec_id", "embedding").filter(F.col("embedding").isNotNull())
+    queries = queries.select("query_id", "embedding").filter(F.col("embedding").isNotNull())
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    blocks, parts = max(1, -(-queries.count() // block)), max(cores, -(-vectors.count() // part))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", each(parts))
+    v = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")).withColumn("block", each(blocks))
+    found = q.groupBy("block", "part").cogroup(v.groupBy("block", "part")).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
@@ -215,13 +213,13 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 3, max_queries:
 
 
 def vector_topk_cells(
-    vectors: DataFrame, queries: DataFrame, cell: list[str], k: int = 5, max_queries: int = 4096
+    vectors: DataFrame, queries: DataFrame, cell: list[str], k: int = 5
 ) -> DataFrame:
     """Top 2k vectors per query, first per cell, at most k.
 
     ``vectors`` also carries the ``cell`` identity columns. The dedup runs on 2k rows per query.
     """
-    near = vector_topk(vectors, queries, 2 * k, max_queries)
+    near = vector_topk(vectors, queries, 2 * k)
     named = near.join(vectors.select("vec_id", *cell), "vec_id")
     per_cell = W.partitionBy("query_id", *cell).orderBy("rank")
     firsts = named.withColumn("nth", F.row_number().over(per_cell)).filter(F.col("nth") == 1)
@@ -295,34 +293,27 @@ def keyword_pattern(key: Column) -> Column:
 
 
 def keyword_search(
-    docs: DataFrame, keys: DataFrame, on: str | None = None, context: int = 100,
-    marker: str = P.PAGE_MARKER, small: bool | None = None,
+    docs: DataFrame, keys: DataFrame, on: str | None = None, context: int = 100, marker: str = P.PAGE_MARKER
 ) -> DataFrame:
     """All whole-word hits of each key in each document.
 
-    A hit needs the key's first word as a word of the document, so candidates come from an
-    equi-join on words; only they are scanned with the key's pattern. Keys that pass a size
-    check are replicated and the text stays where it is. More keys than that: the join moves
-    (document, word) pairs only, and the texts are joined once to the candidates.
+    A hit needs the key's first word as a word of the document. Only (document, word) pairs meet
+    the keys, in an equi-join on words; the candidate keys of a document then join its text once.
+    Keys without a word character are candidates everywhere and join by template (``on``) alone.
     """
-    keys = keys.select(
-        "key_id", "key_name", *([on] if on else []),
-        F.coalesce(F.get(words("key_name", 1), F.lit(0)), F.lit("")).alias("word"),
-    )
-    doc_words = F.explode(F.array_distinct(F.concat(words("text", 1), F.array(F.lit("")))))
-    join_on = ["word", on] if on else ["word"]
-    if small is None:
-        small = fits_broadcast(keys)
+    keys = keys.select("key_id", "key_name", *([on] if on else []), F.get(words("key_name", 1), F.lit(0)).alias("word"))
     link = [on] if on else []
-    if small:
-        pairs = docs.select("doc_id", "text", *link, doc_words.alias("word")).join(F.broadcast(keys), join_on)
-    else:
-        found = docs.select("doc_id", *link, doc_words.alias("word")).join(keys, join_on)
-        pairs = docs.select("doc_id", "text").join(found.select("doc_id", "key_id", "key_name"), "doc_id")
-    hits = match_spans("text", F.col("pattern"))
+    met = docs.select("doc_id", *link, F.explode(F.array_distinct(words("text", 1))).alias("word")).join(
+        keys.filter("word IS NOT NULL"), ["word", *link]
+    )
+    every = with_template_keys(docs.select("doc_id", *link), keys.filter("word IS NULL"), on)
+    asked = met.select("doc_id", "key_id", "key_name").unionByName(every.select("doc_id", "key_id", "key_name"))
+    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("key_id", "key_name")).alias("keys"))  # bounded by the keys
     found = (
-        pairs.select("doc_id", "key_id", "key_name", "text", keyword_pattern(F.col("key_name")).alias("pattern"))
-        .select("doc_id", "key_id", "key_name", "text", marker_array("text", marker).alias("markers"), hits.alias("hits"))
+        docs.select("doc_id", "text").join(asked, "doc_id")
+        .withColumn("markers", marker_array("text", marker))
+        .select("doc_id", "text", "markers", F.explode("keys").alias("k"))
+        .select("doc_id", "k.*", "text", "markers", match_spans("text", keyword_pattern(F.col("k.key_name"))).alias("hits"))
         .select("doc_id", "key_id", "key_name", "text", "markers", F.posexplode_outer("hits").alias("match_idx", "m"))
         .filter(F.col("m").isNotNull())
     )
@@ -338,11 +329,11 @@ def keyword_search(
 
 
 # ------------------------------------------------------------------- definition candidates
-def _sentences(pages: Column, definition_pages: Column, min_chars: int, max_chars: int) -> Column:
+def _sentences(pages: Column, definition_pages: Column, min_chars: int, max_chars: int | None) -> Column:
     """Sentences with page and priority; definition pages first, then the rest in text order."""
     def of_page(p: Column, priority: int) -> Column:
         cut = F.transform(F.split(p["text"], P.SENTENCE_BREAK, -1), strip)
-        kept = F.filter(cut, lambda s: F.length(s).between(min_chars, max_chars))
+        kept = F.filter(cut, lambda s: (F.length(s) >= min_chars) & (F.lit(True) if max_chars is None else F.length(s) <= max_chars))
         return F.transform(kept, lambda s: F.struct(
             p["page"].alias("page"),
             (F.lit(priority) + F.when(s.rlike(P.DEFINITION_SIGNAL), 2).otherwise(0)).alias("base"),
@@ -365,8 +356,8 @@ def mentions(text: Column, key_words: Column) -> Column:
     return (F.size(key_words) == 0) | hit
 
 
-def best_snippets(sentences: Column, key: Column, k: int = 8, prefix: int = 80) -> Column:
-    """Top k sentences for a key, one per 80-character prefix."""
+def best_snippets(sentences: Column, key: Column, k: int = 8, prefix: int | None = None) -> Column:
+    """Top k different sentences for a key; with ``prefix``, those that share so many first characters are one."""
     hits = let(words(key, 3), lambda ws: F.filter(sentences, lambda s: mentions(s["snippet"], ws)))
     scored = let(F.lower(key), lambda low_key: F.transform(hits, lambda s, i: F.struct(
         (-(s["base"] + F.when(F.contains(F.lower(s["snippet"]), low_key), 1).otherwise(0))).alias("neg"),
@@ -378,7 +369,7 @@ def best_snippets(sentences: Column, key: Column, k: int = 8, prefix: int = 80)
     )
 
     def step(acc: Column, s: Column) -> Column:
-        head = clip(s["snippet"], prefix)
+        head = s["snippet"] if prefix is None else clip(s["snippet"], prefix)
         fresh = (F.size(acc["kept"]) < k) & ~F.array_contains(acc["seen"], head)
         return F.when(fresh, F.struct(
             F.concat(acc["seen"], F.array(head)).alias("seen"),
@@ -391,7 +382,7 @@ def best_snippets(sentences: Column, key: Column, k: int = 8, prefix: int = 80)
     )
 
 
-def with_sentences(docs: DataFrame, min_chars: int = 20, max_chars: int = 600) -> DataFrame:
+def with_sentences(docs: DataFrame, min_chars: int = 1, max_chars: int | None = None) -> DataFrame:
     return docs.withColumn(
         "sentences", _sentences(F.col("pages"), F.col("definition_pages"), min_chars, max_chars)
     )
@@ -400,7 +391,7 @@ def with_sentences(docs: DataFrame, min_chars: int = 20, max_chars: int = 600) -
 def definition_candidates(docs: DataFrame, keys: DataFrame, on: str = "subtype", k: int = 8) -> DataFrame:
     """``docs``: doc_id, ``on``, pages, definition_pages. Sentences are cut once per document."""
     cut = with_sentences(docs).select("doc_id", on, "sentences")
-    paired = cut.join(keys.select("key_id", "key_name", on), on)
+    paired = with_template_keys(cut, keys.select("key_id", "key_name", on), on)
     return paired.select(
         "doc_id", "key_id",
         F.posexplode_outer(best_snippets(F.col("sentences"), F.col("key_name"), k)).alias("pos", "c"),
@@ -408,11 +399,12 @@ def definition_candidates(docs: DataFrame, keys: DataFrame, on: str = "subtype",
 
 
 # -------------------------------------------------------------------------- wider contexts
-def broader_pages(all_pages: Column, used: Column, n: int = 4) -> Column:
-    return F.slice(F.filter(all_pages, lambda p: ~F.array_contains(used, p)), 1, n)
+def broader_pages(all_pages: Column, used: Column, n: int | None = None) -> Column:
+    rest = F.filter(all_pages, lambda p: ~F.array_contains(used, p))
+    return rest if n is None else F.slice(rest, 1, n)
 
 
-def broader_search(docs: DataFrame, n: int = 4) -> DataFrame:
+def broader_search(docs: DataFrame, n: int | None = None) -> DataFrame:
     """``docs``: doc_id, pages, used_pages → the next pages to try and their text."""
     wanted = broader_pages(F.col("pages")["page"], F.col("used_pages"), n)
     return docs.select("doc_id", "pages", wanted.alias("next_pages")).select(
@@ -420,10 +412,13 @@ def broader_search(docs: DataFrame, n: int = 4) -> DataFrame:
     )
 
 
-def validation_text(section_text: Column, page_text_: Column, full_text: Column) -> Column:
-    """Section text plus the head of the document, cut to the validator's window."""
+def validation_text(
+    section_text: Column, page_text_: Column, full_text: Column, head: int | None = None, window: int | None = None
+) -> Column:
+    """Section text plus the document; on demand only its head, all cut to a model's window."""
     section = F.coalesce(blank_to_null(section_text), page_text_)
-    return clip(F.concat(section, F.lit("\n\n"), clip(full_text, 3000)), 6000)
+    whole = F.concat(section, F.lit("\n\n"), full_text if head is None else clip(full_text, head))
+    return whole if window is None else clip(whole, window)
 
 
 def validator_context(docs: DataFrame, wanted: Column, marker: str = P.PAGE_MARKER) -> DataFrame:
@@ -431,15 +426,16 @@ def validator_context(docs: DataFrame, wanted: Column, marker: str = P.PAGE_MARK
     return docs.select("doc_id", validation_text(section, F.lit(""), F.col("text")).alias("context"))
 
 
-def snippet_at_page(text: Column | str, page: Column, chars: int = 4000) -> Column:
-    """Text from the label of a page on, else the document head."""
+def snippet_at_page(text: Column | str, page: Column, chars: int | None = None) -> Column:
+    """Text from the label of a page on, else the document; on demand so many characters of it."""
     text = as_col(text)
     at = F.regexp_instr(text, F.concat(F.lit(r"(?iU)PAGE\s+"), page.cast("string"), F.lit(r"\b")))
     found = F.coalesce(at, F.lit(0)) > 0
-    return F.when(found, F.substring(text, at, F.lit(chars))).otherwise(clip(text, chars))
+    rest = F.when(found, F.substring(text, at, F.length(text))).otherwise(text)
+    return rest if chars is None else clip(rest, chars)
 
 
-def page_snippet(docs: DataFrame, page: Column, chars: int = 4000) -> DataFrame:
+def page_snippet(docs: DataFrame, page: Column, chars: int | None = None) -> DataFrame:
     return docs.select("doc_id", snippet_at_page("text", page, chars).alias("snippet"))
 
 

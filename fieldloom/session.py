@@ -32,14 +32,15 @@ def local_session(app: str = "fieldloom", cpus: str | int = 8, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the session names it.
 
-    Falls back to a fresh local folder only where nothing is configured (tests, laptops).
+    Where it is unset, a session inside one process (tests, laptops) gets a new one; a cluster is an error.
     """
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="fieldloom-")
     spark.conf.set(CHECKPOINT_KEY, made)

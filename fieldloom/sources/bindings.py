@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.sources.corpus import spread
 
 RULE = "=" * 30
 
@@ -35,7 +34,7 @@ def page_header(n: Column) -> Column:
 
 def materialized(rows: DataFrame, text: Column) -> DataFrame:
     """Add ``text``, built once per row: a generated text is long, and its readers use it often."""
-    return spread(rows).withColumn("_text", F.array(text)).withColumn("text", F.explode("_text")).drop("_text")
+    return rows.withColumn("_text", F.array(text)).withColumn("text", F.explode("_text")).drop("_text")
 
 
 def paged_documents(t: Tables) -> DataFrame:
@@ -51,7 +50,7 @@ def line_pages(t: Tables) -> DataFrame:
     pages = F.transform(
         F.split("text", "\n", -1), lambda line, i: F.struct((i + 1).alias("page"), line.alias("text"))
     )
-    return spread(t.documents).select("doc_id", pages.alias("pages"), F.col("source").alias("subtype"))
+    return t.documents.select("doc_id", pages.alias("pages"), F.col("source").alias("subtype"))
 
 
 def conversation_pages(t: Tables) -> DataFrame:

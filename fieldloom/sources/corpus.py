@@ -7,18 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldloom.functions.text import as_col
 
-FINGERPRINT_BYTES = 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for text work on a source with few splits.
-
-    A source with at least as many splits as cores, as any large one, is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def load_corpus(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Documents as ``doc_id, text, …``. A missing path is an error, raised by Spark at once.
 
@@ -41,10 +29,10 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return files.select("path", "length", content_fingerprint("content").alias("fingerprint"))
 
 
-def content_fingerprint(content: Column | str, digits: int = 10) -> Column:
-    """MD5 of the first MiB, shortened."""
-    head = F.substring(as_col(content), 1, FINGERPRINT_BYTES)
-    return F.substring(F.md5(head), 1, digits)
+def content_fingerprint(content: Column | str, digits: int = 10, head_bytes: int | None = None) -> Column:
+    """MD5 of the content, or of its first ``head_bytes`` if given, shortened."""
+    content = as_col(content)
+    return F.substring(F.md5(content if head_bytes is None else F.substring(content, 1, head_bytes)), 1, digits)
 
 
 def text_fingerprint(text: Column | str, digits: int = 10) -> Column:
@@ -59,8 +47,9 @@ def cache_key(name: Column, fingerprint: Column, version: str) -> Column:
 def skip_processed(pages: DataFrame, cached: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Split pages into (reused from the cache, still to run).
 
-    A cache entry without a text counts as missing. Both are joins on the page keys; the cache
-    side carries only what is needed.
+    A cache entry without a text counts as missing, repeated entries of a page as one (the
+    greatest text, so that reruns agree). Both are joins on the page keys; the cache side
+    carries only what is needed.
     """
-    usable = cached.filter(F.col("cached_text").isNotNull()).select(*keys, "cached_text")
+    usable = cached.filter(F.col("cached_text").isNotNull()).groupBy(*keys).agg(F.max("cached_text").alias("cached_text"))
     return pages.join(usable, keys), pages.join(usable.select(*keys), keys, "left_anti")

@@ -6,6 +6,7 @@ after a failure replaces its own output instead of adding to it.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,10 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 from fieldloom.functions.text import as_col
 
 
-def stream_parquet(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", per_batch: int = 100) -> DataFrame:
+def stream_parquet(spark: SparkSession, path: str, schema, per_batch: int = 100) -> DataFrame:
+    """A table as a stream of its files: ``path`` is a single file, a folder of part files, or a glob of either.
+
+    A glob is what the file source accepts for single files and folders alike.
+    """
     return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", per_batch).parquet(folder)
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch)
+        .parquet(path if any(c in path for c in "*?[{") else f"{path[:-1]}[{path[-1]}]")
     )
 
 
@@ -30,6 +35,16 @@ def _write_batches(stream: DataFrame, path: str, checkpoint: str, mode: str) ->
     )
 
 
+def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """All rows that batches have written; none if there was no batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def latest_status(changes: DataFrame) -> DataFrame:
     """``changes``: id, ts, seq, status. Same expression for a stream and for a table."""
     at = F.struct("ts", "seq")

@@ -9,5 +9,5 @@ from fieldloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("tests", 4)
+def spark(tmp_path_factory):
+    return local_session("tests", 4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})

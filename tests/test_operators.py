@@ -175,12 +175,11 @@ def test_text_values(spark):
     assert rows(extractors.extract_signatories(d), "role", "value") == [("Bank Authorized Representative", "Jane Doe")]
 
 
-def test_keyword_paths_agree(spark):
+def test_keyword_hits(spark):
     d = docs(spark, page(1, "A fee-note, FEE and coffee.") + page(2, "a.b fee"), "nothing")
     k = spark.createDataFrame([(1, "fee"), (2, "a.b"), (3, "fee-note"), (4, "zzz")], "key_id int, key_name string")
     cols = ["doc_id", "key_id", "match_idx", "page", "text", "position", "context"]
-    small = rows(retrieval.keyword_search(d, k, small=True), *cols)
-    assert small == rows(retrieval.keyword_search(d, k, small=False), *cols)
+    small = rows(retrieval.keyword_search(d, k), *cols)
     text = d.first()["text"]
     want = [(n.lower(), m.start()) for n in ("fee", "a.b", "fee-note")
             for m in re.finditer(rf"\b{re.escape(n)}\b", text, re.I)]
@@ -196,8 +195,9 @@ def test_vector_topk_brute_force(spark):
     unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
     scores = np.round(unit(q) @ unit(m).T, 12)
     want = [(i, r + 1, j) for i in range(7) for r, j in enumerate(sorted(range(60), key=lambda j: (-scores[i, j], j))[:4])]
-    for limit in (4096, 3):
-        assert rows(retrieval.vector_topk(v, qs, 4, max_queries=limit), "query_id", "rank", "vec_id") == sorted(want)
+    holes = v.unionByName(spark.createDataFrame([(99, None)], v.schema))
+    for block, part in ((4096, 32_768), (3, 7)):
+        assert rows(retrieval.vector_topk(holes, qs, 4, block, part), "query_id", "rank", "vec_id") == sorted(want)
 
 
 def test_load_keys(spark, tmp_path):
