@@ -162,9 +162,9 @@ SELECT id, status, CASE k WHEN 'signup' THEN '0' WHEN 'click' THEN v::VARCHAR EN
 
 def progress(spark: SparkSession, path: str) -> DataFrame:
     """Keys numbered by supplier and part within an order."""
-    order = F.col("l_suppkey") * 10_000_000 + F.col("l_partkey")
+    order = F.struct("l_suppkey", "l_partkey")
     rows = Tables(spark, path).lineitem.select(F.col("l_orderkey").alias("doc_id"), order.alias("key_id"))
-    return registry.progress(rows, bucket_size=100_000_000).select("doc_id", "done", "total_keys", "progress")
+    return registry.progress(rows, bucket=F.col("key_id.l_suppkey")).select("doc_id", "done", "total_keys", "progress")
 
 
 PROGRESS_SQL = """

@@ -146,6 +146,21 @@ FROM (SELECT p_partkey AS doc_id, * FROM part)
 
 
 def html_table_cells(spark: SparkSession, path: str) -> DataFrame:
+    """Web tables of the rates of every part."""
+    cells = tables.html_table_cells(bindings.html_documents(Tables(spark, path)))
+    return cells.select("doc_id", "page", "table_idx", "table_title", "row_idx", "row_label", "col_idx", "col_label", "value")
+
+
+HTML_TABLE_SQL = f"""
+WITH {S.RATES},
+v AS (SELECT *, unnest([1, 2]) AS col_idx FROM rate_rows)
+SELECT doc_id, 1 AS page, 0 AS table_idx, 'Rates of part ' || doc_id AS table_title, row_idx, row_label, col_idx,
+       CASE col_idx WHEN 1 THEN 'Mean Discount' ELSE 'Mean Tax' END AS col_label,
+       CASE col_idx WHEN 1 THEN {S.pct('dis')} ELSE {S.pct('tax')} END AS value FROM v
+"""
+
+
+def html_cells(spark: SparkSession, path: str) -> DataFrame:
     """The web pages hold lists rather than tables: lists read as rows, items as cells."""
     docs = Tables(spark, path).pages.select(F.col("page_id").alias("doc_id"), "html")
     return tables.html_cells(docs, row_tag="ul", cell_tags="li")
@@ -165,7 +180,7 @@ QUERIES = {
     "locate_tables": locate_tables, "parse_grid_rows": parse_grid_rows, "classify_rows": classify_rows,
     "expand_threshold_headers": expand_threshold_headers, "column_headers": column_headers,
     "grid_cells": grid_cells, "split_merged_value": split_merged_value, "stitch_cross_page": stitch_cross_page,
-    "known_grid": known_grid, "table_terms": table_terms, "html_table_cells": html_table_cells,
+    "known_grid": known_grid, "table_terms": table_terms, "html_table_cells": html_table_cells, "html_cells": html_cells,
 }
 ORACLES = {
     "locate_tables": f"WITH {S.RATES} SELECT DISTINCT doc_id, 1 AS page, 0 AS table_idx, 'Rates of part ' || doc_id AS table_title FROM rates",
@@ -173,5 +188,5 @@ ORACLES = {
     "classify_rows": _ROWS + "SELECT doc_id, 0 AS table_idx, row_idx, kind, cells FROM rws",
     "expand_threshold_headers": THRESHOLD_SQL, "column_headers": COLUMN_SQL, "grid_cells": GRID_SQL,
     "split_merged_value": MERGED_SQL, "stitch_cross_page": _cells_sql(2) + "SELECT * FROM cells",
-    "known_grid": KNOWN_SQL, "table_terms": TERMS_SQL, "html_table_cells": HTML_SQL,
+    "known_grid": KNOWN_SQL, "table_terms": TERMS_SQL, "html_table_cells": HTML_TABLE_SQL, "html_cells": HTML_SQL,
 }

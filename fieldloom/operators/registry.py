@@ -200,9 +200,12 @@ def running_count(rows: DataFrame, group: list[str], order: list[str], bucket: C
     )
 
 
-def progress(results: DataFrame, bucket_size: int = 4096) -> DataFrame:
-    """Progress after each finished key: 50 plus 40 times the finished share."""
-    done = running_count(results, ["doc_id"], ["key_id"], F.floor(F.col("key_id") / bucket_size))
+def progress(results: DataFrame, bucket_size: int = 4096, bucket: Column | None = None) -> DataFrame:
+    """Progress after each finished key: 50 plus 40 times the finished share.
+
+    ``bucket`` replaces the share of ``key_id`` where keys are no numbers; it must grow with them.
+    """
+    done = running_count(results, ["doc_id"], ["key_id"], F.floor(F.col("key_id") / bucket_size) if bucket is None else bucket)
     totals = results.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_keys"))
     share = F.col("done") * 40.0 / F.greatest(F.col("total_keys"), F.lit(1))
     return done.join(totals, "doc_id").withColumn("progress", F.round(share + 50, 1))

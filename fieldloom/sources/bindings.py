@@ -107,6 +107,19 @@ def _flag_rows() -> Column:
     return F.array_join(rows, "\n")
 
 
+def html_documents(t: Tables) -> DataFrame:
+    """The same rates as web tables: a title cell over all columns, a header row, a row per return flag."""
+    def row(*cells: Column | str) -> Column:
+        return F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), F.lit(c) if isinstance(c, str) else c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+
+    body = F.array_join(F.array(*[
+        F.when(F.col(f"dis_{f}").isNotNull(), row(f"Flag {f}", pct(F.col(f"dis_{f}")), pct(F.col(f"tax_{f}")))) for f in FLAGS
+    ]), "\n")
+    title = F.concat(F.lit("<p>intro</p><table><tr><td colspan=3>Rates of part "), F.col("doc_id").cast("string"), F.lit("</td></tr>"))
+    html = F.concat(title, row("Flag", "Mean Discount", "Mean Tax"), body, F.lit("</table>"))
+    return part_rates(t).select("doc_id", html.alias("html"))
+
+
 def grid_documents(t: Tables) -> DataFrame:
     """One text grid per part: title, header and a row per return flag."""
     text = F.concat(

@@ -18,7 +18,10 @@ QUICK = [
     "alias_research", "definition_candidates", "format_check", "registry_upsert", "progress", "status_stream",
     "extract_fields",
 ]
-NATIVE = ["split_pages", "grid_cells", "stitch_cross_page", "definition_candidates", "route_key_to_section"]
+NATIVE = [
+    "split_pages", "grid_cells", "stitch_cross_page", "definition_candidates", "route_key_to_section", "keyword_search",
+    "build_snippet_index", "extract_fields", "value_cascade", "result_row", "ordered_results",
+]
 
 
 @pytest.mark.skipif(not Path(DATA).exists(), reason="tables not present")
