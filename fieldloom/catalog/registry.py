@@ -188,6 +188,17 @@ SELECT id, name, document_type, status, pipeline_step, created_at,
 """
 
 
+def result_fields(spark: SparkSession, path: str) -> DataFrame:
+    """The field list of the response: every result row of a completed document."""
+    return registry.result_fields(_reg(spark, path), _res(spark, path)).select("doc_id", "key_id", "key_name", "value", "score", "page", "found_in")
+
+
+FIELDS_SQL = f"""
+WITH {S.REGISTRY}, {S.RESULTS}
+SELECT doc_id, key_id, key_name, value, score, page, found_in FROM res WHERE doc_id IN (SELECT id FROM reg WHERE status = 'completed')
+"""
+
+
 def format_display(spark: SparkSession, path: str) -> DataFrame:
     t = Tables(spark, path)
     shown = t.documents.select(
@@ -217,7 +228,7 @@ QUERIES = {
     "model_call_stats": model_call_stats, "registry_stats": registry_stats, "count_by_type": count_by_type,
     "step_timings": step_timings, "list_documents": list_documents, "get_document": get_document,
     "filter_results": filter_results, "status_view": status_view, "registry_upsert": registry_upsert,
-    "progress": progress, "result_response": result_response, "format_display": format_display,
+    "progress": progress, "result_response": result_response, "result_fields": result_fields, "format_display": format_display,
 }
 ORACLES = {
     "confidence_tiers": _TIERS + "SELECT * FROM t", "tier_percentages": _TIERS + f"SELECT supplier, total_keys, {_PCT} FROM t",
@@ -228,5 +239,5 @@ ORACLES = {
         WHERE contains(lower(name), '{SEARCH}') AND status = 'completed' ORDER BY created_at DESC, id LIMIT {LIMIT}""",
     "get_document": f"WITH {S.REGISTRY} SELECT id, name, document_type, status, created_at FROM reg WHERE id = 7",
     "filter_results": FILTER_SQL, "status_view": STATUS_SQL, "registry_upsert": UPSERT_SQL, "progress": PROGRESS_SQL,
-    "result_response": RESPONSE_SQL, "format_display": DISPLAY_SQL,
+    "result_response": RESPONSE_SQL, "result_fields": FIELDS_SQL, "format_display": DISPLAY_SQL,
 }

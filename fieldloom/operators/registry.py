@@ -181,8 +181,10 @@ def registry_state(changes: DataFrame, columns: list[str]) -> DataFrame:
     ])
 
 
-def running_count(rows: DataFrame, group: list[str], order: list[str], bucket: Column, name: str = "done") -> DataFrame:
-    """Position of each row in its group, one-based, without sorting a whole group in one task.
+def running_count(
+    rows: DataFrame, group: list[str], order: list[str], bucket: Column, name: str = "done", total: str | None = None
+) -> DataFrame:
+    """Position of each row in its group, one-based, without sorting a whole group in one task; on demand the group's size.
 
     ``bucket`` must grow with the order. Rows are ranked within their bucket; the sizes of the
     earlier buckets of the group, a far smaller table, are added.
@@ -191,7 +193,8 @@ def running_count(rows: DataFrame, group: list[str], order: list[str], bucket: C
     inner = F.row_number().over(W.partitionBy(*group, "_bucket").orderBy(*order))
     sizes = cut.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy(*group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select(*group, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                           *([F.sum("_n").over(W.partitionBy(*group)).alias(total)] if total else []))
     return (
         cut.withColumn("_inner", inner)
         .join(offsets, [*group, "_bucket"])
@@ -205,10 +208,10 @@ def progress(results: DataFrame, bucket_size: int = 4096, bucket: Column | None
 
     ``bucket`` replaces the share of ``key_id`` where keys are no numbers; it must grow with them.
     """
-    done = running_count(results, ["doc_id"], ["key_id"], F.floor(F.col("key_id") / bucket_size) if bucket is None else bucket)
-    totals = results.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total_keys"))
+    done = running_count(results, ["doc_id"], ["key_id"], F.floor(F.col("key_id") / bucket_size) if bucket is None else bucket,
+                         total="total_keys")
     share = F.col("done") * 40.0 / F.greatest(F.col("total_keys"), F.lit(1))
-    return done.join(totals, "doc_id").withColumn("progress", F.round(share + 50, 1))
+    return done.withColumn("progress", F.round(share + 50, 1))
 
 
 def milestone(step: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog import incremental
 from fieldloom.functions import formats
+from fieldloom.functions import patterns as P
 from fieldloom.functions.text import match_spans, running_offsets, strip
 from fieldloom.operators import extractors, keys, pages, registry, requests, retrieval, tables, validation
 from fieldloom.sources import corpus
@@ -275,3 +276,32 @@ def test_streams_read_tables_of_several_files(spark, tmp_path):
     assert incremental.incremental_pages(spark, str(tmp_path)).count() == 90
     source.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
     assert incremental.dedup_uploads(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_definition_answers_have_defaults(spark):
+    asked = spark.createDataFrame([(1, "Closing Date"), (2, "Margin")], "key_id int, key_name string")
+    answers = spark.createDataFrame([(2, "the margin is", "", "percentage", 4)],
+                                    "key_id int, definition_text string, extraction_mode string, expected_format string, source_page int")
+    got = rows(validation.coalesce_definition(asked, answers, ["key_id"]), "key_id", "definition_text", "extraction_mode", "expected_format", "source_page")
+    assert got == [(1, "", "verbatim", "date", None), (2, "the margin is", "verbatim", "percentage", "4")]
+
+
+def test_milestones_of_steps(spark):
+    steps = spark.createDataFrame([("ocr_done",), ("completed",), ("other",)], "step string")
+    assert rows(steps.select("step", registry.milestone("step").alias("m")), "step", "m") == [("completed", 100.0), ("ocr_done", 20.0), ("other", 0.0)]
+
+
+def test_ruled_page_headers_split(spark):
+    d = docs(spark, "── Page 1 ──\none\n── Page 2 ──\ntwo")
+    assert rows(pages.split_pages(d, P.RULED_PAGE_HEADER), "page", "text") == [(1, "one"), (2, "two")]
+
+
+def test_batched_inference_marks_failures(spark):
+    def model(prompts):
+        if "bad" in prompts:
+            raise RuntimeError("boom " + "x" * 300)
+        return [p.upper() for p in prompts]
+
+    asked = spark.createDataFrame([("good",), ("bad",)], "prompt string").coalesce(1)
+    got = {r["prompt"]: r for r in requests.with_inference(asked, model, batched=True).collect()}
+    assert got["good"]["raw"] == "GOOD" and got["bad"]["raw"] is None and len(got["bad"]["error"]) == 305
