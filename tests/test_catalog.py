@@ -20,7 +20,7 @@ QUICK = [
 ]
 NATIVE = [
     "split_pages", "grid_cells", "stitch_cross_page", "definition_candidates", "route_key_to_section", "keyword_search",
-    "build_snippet_index", "extract_fields", "value_cascade", "result_row", "ordered_results",
+    "build_snippet_index", "extract_fields",
 ]
 
 
