@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_pii": pii.ORACLE,
+    "op2_substring_dedup": substrings.ORACLE,
+    "op9_ngram_jaccard_join": jaccard.ORACLE,
 }

@@ -68,3 +68,18 @@ def drop_repeats(docs: DataFrame, spark: SparkSession | None = None) -> DataFram
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_repeats(shared.table(spark, sf_dir, "documents"), spark)
+
+
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS row_id, doc_id,
+  list_filter(regexp_extract_all(coalesce(text, ''), '[^.!?\n]*(?:[.!?]+\s*|\n\s*|$)'), lambda s: s <> '') AS parts FROM documents),
+n AS (SELECT row_id, doc_id, list_transform(parts, lambda s: trim(regexp_replace(lower(s), '\s+', ' ', 'g'))) AS norms FROM d),
+r AS (SELECT row_id, doc_id, norms, unnest(range(1, len(norms) - 1)) AS i FROM n),
+f AS (SELECT row_id, i, row_number() OVER (PARTITION BY norms[i:i+2] ORDER BY doc_id, i) AS nth FROM r),
+gone AS (SELECT row_id, list(DISTINCT s) AS places FROM (SELECT row_id, unnest([i, i + 1, i + 2]) AS s FROM f WHERE nth > 1) GROUP BY row_id),
+k AS (SELECT doc_id, parts, list_filter(list_transform(range(1, len(parts) + 1), lambda i:
+        CASE WHEN list_contains(coalesce(places, []), i) THEN NULL ELSE parts[i] END), lambda s: s IS NOT NULL) AS kept
+      FROM d LEFT JOIN gone USING (row_id))
+SELECT doc_id, array_to_string(kept, '') AS text, len(parts) AS n_sentences, len(parts) - len(kept) AS n_removed,
+       length(array_to_string(kept, '')) AS n_chars FROM k
+"""
