@@ -101,6 +101,12 @@ def _dashed(*parts: Column) -> Column:
     return F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2])
 
 
+def _message(name: str, *values: Column) -> Column:
+    """A fixed text with its gaps filled."""
+    first, *rest = P.MESSAGES[name].split("{}")
+    return F.concat(F.lit(first), *[part for v, text in zip(values, rest) for part in (v, F.lit(text))])
+
+
 def normalize_date(value: Column | str, strict: bool = False) -> Column:
     """``YYYY-MM-DD`` where the value can be read as a date, else the value itself.
 
@@ -161,7 +167,7 @@ def format_check(value: Column | str, fmt: Column | str, strict: bool = False, l
         ok = date.rlike(P.VALUE_RULES["date"][0])
         if strict:
             ok = ok & F.try_to_timestamp(date, F.lit("yyyy-MM-dd")).isNotNull()
-        wrong = F.concat(F.lit("cannot normalize date — expected YYYY-MM-DD, got '"), date, F.lit("'"))
+        wrong = _message("date", date)
         return F.when(ok, _verdict(True, date, none)).otherwise(_verdict(False, date, wrong))
 
     def of_other(v: Column) -> Column:
@@ -172,10 +178,7 @@ def format_check(value: Column | str, fmt: Column | str, strict: bool = False, l
                 | ((fmt == "ratio") & v.rlike(r"(?i)^\d+\.?\d*\s*x$"))
             )
         normal = F.when(fmt == "ratio", F.regexp_replace(v, P.RATIO_TAIL, " to 1.00")).otherwise(v)
-        wrong = F.concat(
-            F.lit("format mismatch — expected "), fmt, F.lit(" (e.g. "), format_example(fmt),
-            F.lit("), got '"), v, F.lit("'"),
-        )
+        wrong = _message("mismatch", fmt, format_example(fmt), v)
         return F.when(fits, _verdict(True, normal, none)).otherwise(_verdict(False, v, wrong))
 
     def of_value(v: Column) -> Column:
@@ -183,7 +186,7 @@ def format_check(value: Column | str, fmt: Column | str, strict: bool = False, l
         return (
             F.when(
                 raw.isNull() | v.isin(NULL_LIKE),
-                _verdict(False, F.lit(None).cast("string"), F.lit("null or empty value")),
+                _verdict(False, F.lit(None).cast("string"), _message("empty")),
             )
             .when(fmt == "date", let(normalize_date(v, strict), of_date))
             .otherwise(let(completed, of_other))
@@ -220,7 +223,7 @@ def sanity_check(value: Column | str, fmt: Column | str, hint: Column | None = N
         decimal = r"(?U)\d+\.\d+"
         gap = F.abs(group1(hint, decimal, 0).try_cast("double") - group1(normal, decimal, 0).try_cast("double"))
         off = (fmt == "ratio") & F.coalesce(gap >= 0.01, F.lit(False))
-        return F.when(off, out(True, normal, -0.1, "value doesn't match definition hint")).otherwise(
+        return F.when(off, out(True, normal, -0.1, _message("hint"))).otherwise(
             out(True, normal, 0.0, "")
         )
 
@@ -230,20 +233,17 @@ def sanity_check(value: Column | str, fmt: Column | str, hint: Column | None = N
             F.when(fmt == "ratio", F.regexp_replace(x, P.RATIO_TAIL, " to 1.00"))
             .when(bare, F.concat(x, F.lit("%"))).when(fmt == "percentage", strip(x)).otherwise(x)
         )
-        mismatch = F.concat(
-            F.lit("value '"), x, F.lit("' does not match expected format '"), fmt, F.lit("' (e.g. "),
-            _rule(fmt, table, 1), F.lit(")"),
-        )
+        mismatch = _message("scored_mismatch", x, fmt, _rule(fmt, table, 1))
         return (
             F.when((fmt == "date") & ~x.rlike(table["date"][0]),
-                   out(False, x, -0.3, "date format wrong, expected YYYY-MM-DD"))
+                   out(False, x, -0.3, _message("scored_date")))
             .when(~_fits(x, fmt, table) & ~bare, out(False, x, -0.5, mismatch))
             .otherwise(let(normal, accepted))
         )
 
     dated = let(let(v, named), slashed)
     return F.when(
-        v.isNull() | v.isin("", "null", "N/A"), out(False, F.lit(None).cast("string"), -1.0, "null value")
+        v.isNull() | v.isin("", "null", "N/A"), out(False, F.lit(None).cast("string"), -1.0, _message("null"))
     ).otherwise(let(F.when(fmt == "date", dated).otherwise(v), judged))
 
 

@@ -282,3 +282,18 @@ TEMPLATE_CATALOG = [
     ("admin", "invoice", "Insurance Policy / Invoice", "insurance_policy.json", "invoice_terms", "invoice_terms"),
     ("admin", "compliance_report", "Compliance Report", "compliance_report.json", "compliance_terms", "compliance_terms"),
 ]
+# The texts of reasons and issues; {} is filled in.
+MESSAGES = {
+    "rescued": "Currency code extracted from table header",
+    "accepted": "Format valid, confidence sufficient",
+    "no_answer": "LLM returned invalid response",
+    "high_embedding": "High embedding confidence, format verified",
+    "no_scored_answer": "Validator LLM returned unexpected format; extraction value used",
+    "empty": "null or empty value",
+    "null": "null value",
+    "date": "cannot normalize date — expected YYYY-MM-DD, got '{}'",
+    "mismatch": "format mismatch — expected {} (e.g. {}), got '{}'",
+    "scored_date": "date format wrong, expected YYYY-MM-DD",
+    "scored_mismatch": "value '{}' does not match expected format '{}' (e.g. {})",
+    "hint": "value doesn't match definition hint",
+}
