@@ -2,9 +2,9 @@
 
 1. Over all documents: words, exact base phrases, and which licence words a document holds. The document
    frequencies of the licence words give their inverse document frequencies (IDF).
-2. Each document looks up its highest-IDF licence words in the postings (template, position) of the templates.
-   A posting and a place in the document agree on an offset; the postings of a template that agree on one
-   offset intersect, and their IDF adds up.
+2. Each document looks up all its licence words in the postings (template, position) of the templates, so notices
+   that stand side by side do not compete. A posting and a place in the document agree on an offset; the postings
+   of a template that agree on one offset intersect, and their IDF adds up.
 3. A template whose aligned words reach half of its weight is reported once its mandatory phrases stand there.
 
 Native expressions only. Templates are a fixed list of some hundred words, so the index is a literal of fixed size.
@@ -56,7 +56,7 @@ TEMPLATES = [
     ("cc-by", "licensed under a Creative Commons Attribution 4.0 International License", ["creative commons attribution 4"]),
 ]
 COMMON = set("a all and any are as at be by can either for forms has in into is it may not of on or provided that the this to under use with you".split())
-RARE = 12  # licence words that a document or a template is looked up by
+RARE = 12  # licence words of a template that make up its weight
 LEAST = 3  # aligned words
 SHARE = 0.5  # of a template's weight
 
@@ -121,13 +121,8 @@ def scan_licenses(docs: DataFrame, spark: SparkSession | None = None) -> DataFra
     post = F.broadcast(scratch.keep(post))  # a row per word of the templates at most
 
     candidates = words.filter("words IS NOT NULL").dropDuplicates(["id"])
-    ranked = candidates.select("id", F.explode("held").alias("word")).join(idf, "word").groupBy("id").agg(
-        F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("idf", "word")))), 1, RARE).alias("top")  # of the templates' words at most
-    )
-    # positions of the chosen words, then their postings; offsets on which postings agree
-    chosen = candidates.join(ranked, "id").select("id", "words", F.col("top.word").alias("chosen"))
-    places = chosen.select("id", "chosen", F.posexplode(F.split(F.expr("btrim(words)"), " ")).alias("pos", "word"))
-    places = places.filter(F.array_contains("chosen", F.col("word"))).select("id", "pos", "word")
+    # positions of the licence words, then their postings; offsets on which postings agree
+    places = candidates.select("id", F.posexplode(F.split(F.expr("btrim(words)"), " ")).alias("pos", "word"))
     aligned = places.join(post, "word").groupBy("id", "template", (F.col("pos") - F.col("at")).alias("offset")).agg(
         F.count_distinct("word").alias("n"), F.sum("idf").alias("found"), F.first("weight").alias("weight")
     )

@@ -286,6 +286,15 @@ def test_license_labels(spark):
     assert got[4].labels == [] and got[5].n_base == 0
 
 
+def test_licenses_of_texts_with_many_notices(spark):
+    notice = {label: text for label, text, _ in licenses.TEMPLATES}  # the last, mostly longest notice of each label
+    files = [list(notice), ["gpl-3", "bsd"], ["mit", "gpl-3"], ["mit", "apache-2", "gpl-3", "bsd", "mpl-2", "isc", "unlicense", "cc0"]]
+    texts = ["\n\n".join(f"Part {k} of the bundle.\n{notice[label]}" for k, label in enumerate(f)) for f in files]
+    got = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    labels = {r.doc_id: r.labels for r in got}
+    assert all(set(f) <= set(labels[k]) for k, f in enumerate(files)) and labels[1] == ["bsd", "gpl-3"]
+
+
 # ------------------------------------------------------------------------------ pipeline
 @needs_data
 def test_pipeline_keeps_what_it_should(spark):
