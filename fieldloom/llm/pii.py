@@ -93,17 +93,29 @@ def _phones(text: Column) -> Column:
 
 
 def _ibans(text: Column) -> Column:
-    pattern = r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}"
+    # Two letters and two digits anywhere propose an account; none of these places overlaps another one.
+    # What follows is only looked at, so that a proposal does not swallow the next one.
+    pattern = r"[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))"
+    none = F.array().cast("array<struct<start:int,end:int,hit:string>>")
 
-    def cut(span: Column) -> Column:
+    def cut(span: Column, rest: Column) -> Column:
         """The longest run of leading words that passes."""
-        parts = F.split(span["hit"], " ")
+        parts = F.split(F.concat(span["hit"], rest), " ")
         heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " "))
         hit = F.try_element_at(F.filter(heads, mod97), F.lit(-1))
         return F.struct(span["start"].alias("start"), (span["start"] + F.length(hit)).alias("end"), hit.alias("hit"))
 
-    found = _hits(text, text.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11}"), text, pattern, lambda h: F.lit(True))
-    return F.filter(F.transform(found, cut), lambda s: s["hit"].isNotNull())
+    def apart(spans: Column) -> Column:
+        """Of overlapping spans the leftmost."""
+        def step(a: Column, s: Column) -> Column:
+            free = s["start"] >= F.coalesce(F.try_element_at(a, F.lit(-1))["end"], F.lit(0))
+            return F.when(free, F.concat(a, F.array(s))).otherwise(a)
+
+        return F.when(F.size(spans) > 1, F.aggregate(spans, none, step)).otherwise(spans)
+
+    found = F.zip_with(match_spans(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), cut)
+    found = let(F.filter(found, lambda s: s["hit"].isNotNull()), apart)
+    return F.when(text.rlike(r"[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11}"), found).otherwise(none)
 
 
 def _scored(kind: str, text: Column, spans: Column) -> Column:

@@ -56,6 +56,20 @@ def test_pii_kinds_and_masking(spark):
     assert masked[1].t == "account IBAN [IBAN] LATER" and masked[3].t == texts[3]
 
 
+def test_accounts_beside_one_another(spark):
+    texts = [
+        "DE89370400440532013000 GB82WEST12345698765432", "REF AB12 DE89 3704 0044 0532 0130 00", "IBANDE89370400440532013000",
+        "GB82 WEST 1234 5698 7654 32 DE89 3704 0044 0532 0130 00 FR1420041010050500013M02606", "REF AB12 DE89 3704 0044 0532 0130 01",
+    ]
+    want = [
+        ["DE89370400440532013000", "GB82WEST12345698765432"], ["DE89 3704 0044 0532 0130 00"], ["DE89370400440532013000"],
+        ["GB82 WEST 1234 5698 7654 32", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606"], [],
+    ]
+    found = pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [s.hit for s in r.pii if s.kind == "iban"] for r in found} == dict(enumerate(want))
+    assert all(texts[r.doc_id][s.start : s.end] == s.hit for r in found for s in r.pii)
+
+
 # ------------------------------------------------------------------------------ 2
 def test_repeated_passages_leave_once(spark):
     passage = "One two three four. Five six seven eight nine. Ten eleven twelve. Thirteen fourteen fifteen sixteen."
