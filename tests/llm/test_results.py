@@ -192,6 +192,18 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and len(want) >= 15
 
 
+def test_leaks_with_one_edited_word_are_all_found(spark):
+    rng = random.Random(55)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(39))) for i in range(300)]
+    rows = []
+    for i, text in items:
+        w = text.split()
+        w[5 + i % 29] = "edited"  # 5 of 35 shingles differ: similarity 30 / 40
+        rows.append((i, " ".join(w)))
+    got = contamination.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.similarity) for r in got} == {(i, i, 0.75) for i, _ in items}
+
+
 # ------------------------------------------------------------------------------ 6
 @pytest.mark.parametrize("html, want", [
     ("<nav><a href=x>Home</a></nav><article><header><h1>Head</h1></header><p>One &amp; two<br>three.<p>Hm.</article><footer>(c)</footer>", "Head One & two three. Hm."),
