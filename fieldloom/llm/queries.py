@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import contamination, fingerprints, html_text, jaccard, licenses, mixing, pii, substrings, token_counts, toxicity
+from fieldloom.llm import contamination, conversations, fingerprints, html_text, jaccard, licenses, mixing, pii, substrings, token_counts, toxicity
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_conversation_trie": conversations.op11_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {
     "op1_pii": pii.ORACLE,
     "op2_substring_dedup": substrings.ORACLE,
     "op9_ngram_jaccard_join": jaccard.ORACLE,
+    "op11_conversation_trie": conversations.ORACLE,
 }
