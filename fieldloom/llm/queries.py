@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from fieldloom.llm import contamination, conversations, fingerprints, html_text, jaccard, language_model, licenses, mixing, pii, substrings, token_counts, toxicity
+from fieldloom.llm import (
+    alignment, contamination, conversations, fingerprints, html_text, jaccard, language_model, licenses, mixing, pii, substrings, token_counts, toxicity,
+)
 
 QUERIES = {
     "op1_pii": pii.op1_pii,
@@ -16,6 +18,7 @@ QUERIES = {
     "op9_ngram_jaccard_join": jaccard.op9_ngram_jaccard_join,
     "op10_license_scan": licenses.op10_license_scan,
     "op11_conversation_trie": conversations.op11_conversation_trie,
+    "op12_token_alignment": alignment.op12_token_alignment,
     "op13_lm_scoring": language_model.op13_lm_scoring,
 }
 
