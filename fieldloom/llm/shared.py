@@ -33,6 +33,34 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+# ------------------------------------------------------------------------------ row filters
+LEAST_BITS, MOST_BITS = 1 << 16, 1 << 23
+PROBES = 3
+
+
+def _bits_of(key: Column, bits: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(F.lit(k), key), F.lit(bits)) for k in range(PROBES)]
+
+
+def may_be_in(keys: DataFrame, key: Column) -> Column:
+    """Is ``key`` perhaps among ``keys`` (one column)? False is certain, also for null.
+
+    The keys fill a bit filter that travels as a literal of at most MOST_BITS bits, whatever their number: a fuller one
+    answers true more often. So rows that are not concerned stay where they are, and the others are joined exactly.
+    """
+    name = keys.columns[0]
+    keys = keys.filter(F.col(name).isNotNull())
+    bits = min(max(1 << (16 * keys.count()).bit_length(), LEAST_BITS), MOST_BITS)
+    bit = keys.select(F.explode(F.array(*_bits_of(F.col(name), bits))).alias("bit"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
+    set_bits = dict(map(tuple, bit.groupBy(F.floor(F.col("bit") / 64).alias("at")).agg(F.bit_or(one)).collect()))  # at most MOST_BITS / 64 rows
+    words = F.split(F.lit(",".join(str(set_bits.get(k, 0)) for k in range(bits // 64))), ",").cast("array<bigint>")  # folded to one literal
+    found = key.isNotNull()
+    for b in _bits_of(key, bits):
+        found = found & (F.call_function("shiftright", F.get(words, F.floor(b / 64).cast("int")), (b % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
+    return F.coalesce(found, F.lit(False))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

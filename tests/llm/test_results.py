@@ -71,20 +71,52 @@ def test_accounts_beside_one_another(spark):
 
 
 # ------------------------------------------------------------------------------ 2
+def some_words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n))
+
+
+def removed(spark, rows):
+    return {r.doc_id: r for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
 def test_repeated_passages_leave_once(spark):
-    passage = "One two three four. Five six seven eight nine. Ten eleven twelve. Thirteen fourteen fifteen sixteen."
+    passage = " ".join(f"{some_words(k, 8)}." for k in range(8))
     rows = [(1, f"Alpha beta. {passage} Gamma delta."), (2, f"Other start here.\n{passage}\nOther end."), (3, "Nothing is shared. Not here. Nor here. Or there.")]
-    got = {r.doc_id: r for r in substrings.drop_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = removed(spark, rows)
     assert got[1].text == rows[0][1] and got[3].text == rows[2][1]
-    assert got[2].text == "Other start here.\nOther end." and got[2].n_removed == 4
+    assert got[2].text == "Other start here.\nOther end." and got[2].n_removed == 8
 
 
-@needs_data
-def test_sentences_add_up(spark):
-    from pyspark.sql import functions as F
+def test_a_passage_of_two_sentences_leaves(spark):
+    passage = f"{some_words(1, 31)}. {some_words(2, 31)}."
+    got = removed(spark, [(1, f"One start. {passage} One end."), (2, f"Another start. {passage} Another end."), (3, f"{passage}")])
+    assert got[1].n_removed == 0
+    assert got[2].text == "Another start. Another end." and got[3].text == ""
+
 
-    bad = documents(spark).filter(F.array_join(substrings.sentences(F.col("text")), "") != F.col("text"))
-    assert bad.count() == 0
+def test_a_passage_inside_long_sentences_leaves_but_for_its_edges(spark):
+    passage = ", ".join(some_words(10 + k, 9) for k in range(7))  # 63 words without an end mark
+    got = removed(spark, [(1, f"{some_words(20, 5)} {passage} {some_words(21, 5)}"), (2, f"{some_words(22, 3)} {passage} {some_words(23, 14)}")])
+    assert got[1].n_removed == 0 and len(got[2].text.split()) <= 3 + 14 + 2 * substrings.PIECE
+
+
+def test_short_lines_stay_however_often_they_repeat(spark):
+    lines = "First short line.\nSecond one here too.\nThird and last.\n"
+    rows = [(k, f"{some_words(k, 40)}.\n{lines}{some_words(1000 + k, 40)}.") for k in range(20)]
+    got = removed(spark, rows)
+    assert all(got[k].text == t and got[k].n_removed == 0 for k, t in rows)
+
+
+def test_marks_without_words_are_no_run(spark):
+    got = removed(spark, [(1, "Some text here . . . . and more."), (2, "Wholly other words . . . . to the end.")])
+    assert got[1].n_removed == got[2].n_removed == 0
+
+
+@needs_data
+def test_pieces_add_up(spark):
+    assert all("".join(substrings.pieces(r.text or "")) == (r.text or "") for r in documents(spark).collect())
+    assert substrings.pieces("a " * 30)[0] == "a " * substrings.PIECE
 
 
 # ------------------------------------------------------------------------------ 3
