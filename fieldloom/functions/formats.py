@@ -247,8 +247,8 @@ def sanity_check(value: Column | str, fmt: Column | str, hint: Column | None = N
     ).otherwise(let(F.when(fmt == "date", dated).otherwise(v), judged))
 
 
-def currency_rescue(key_name: Column, value: Column, page_text: Column, anchored: bool = True) -> Column:
-    """Currency code from the page text, only for a missing value of a currency key.
+def rescue_code(key_name: Column, page_text: Column, anchored: bool = True) -> Column:
+    """Currency code that the page text states, for currency keys only.
 
     ``anchored`` asks for a whole three-letter word after "expressed in".
     """
@@ -257,8 +257,12 @@ def currency_rescue(key_name: Column, value: Column, page_text: Column, anchored
         if anchored and pattern.startswith(r"(?iU)expressed"):
             pattern += r"\b"
         found.append(F.upper(group1(page_text, pattern)))
-    wanted = value.isNull() & contains_any(F.lower(key_name), P.CURRENCY_KEY_WORDS)
-    return F.when(wanted, F.coalesce(*found))
+    return F.when(contains_any(F.lower(key_name), P.CURRENCY_KEY_WORDS), F.coalesce(*found))
+
+
+def currency_rescue(key_name: Column, value: Column, page_text: Column, anchored: bool = True) -> Column:
+    """Currency code from the page text, only for a missing value of a currency key."""
+    return F.when(value.isNull(), rescue_code(key_name, page_text, anchored))
 
 
 def confidence_score(confidence: Column | str) -> Column:

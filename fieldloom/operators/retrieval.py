@@ -19,20 +19,28 @@ SCORE_DIGITS = 12
 
 
 # ------------------------------------------------------------------------------- pairing
-SALTS = 64
+KEY_BYTES = 4 << 20  # of all keys together, up to which they are sent to the documents
 
 
-def with_template_keys(docs: DataFrame, keys: DataFrame, on: str | None = "subtype", salts: int = SALTS) -> DataFrame:
-    """Documents joined to the keys of their template, or to all keys without ``on``.
+def with_template_keys(docs: DataFrame, keys: DataFrame, on: str | None = "subtype", limit: int = KEY_BYTES) -> DataFrame:
+    """Documents (one row per doc_id) with each key of their template, or with all keys without ``on``.
 
-    Templates are few, so one may hold most documents: documents are dealt to ``salts`` parts, and
-    every part gets the keys. The part is a join key that never folds to a constant, so the join
-    stays an equi-join even where all documents have the same template. The hint keeps Spark from
-    replicating the documents, which would leave the work on them to the few tasks of the keys.
+    The keys are measured first. Up to ``limit`` bytes they are sent to the documents, one row of keys per template, so
+    documents stay where they are however many have the same template. Larger key tables meet the documents' ids
+    instead; the keys found for a document are collected (no more than its template has) and join it by doc_id.
     """
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    dealt = keys.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return docs.withColumn("_part", part).hint("merge").join(dealt, [*([on] if on else []), "_part"]).drop("_part")
+    # A constant would fold and turn the join into a Cartesian product.
+    link, named = on or "_all", [c for c in keys.columns if c != on]
+    with_link = docs if on else docs.withColumn(link, F.pmod(F.xxhash64("doc_id"), F.lit(1)))
+    keyed = keys if on else keys.withColumn(link, F.lit(0).cast("bigint"))
+    size = keyed.agg(F.sum(F.octet_length(F.to_json(F.struct(*keyed.columns))))).first()[0] or 0
+    one = F.struct(*named).alias("k")
+    if size <= limit:
+        met = with_link.join(F.broadcast(keyed.groupBy(link).agg(F.collect_list(one).alias("_keys"))), link)
+    else:
+        ids = with_link.select("doc_id", link).join(keyed.select(link, one), link)
+        met = with_link.join(ids.groupBy("doc_id").agg(F.collect_list("k").alias("_keys")), "doc_id")
+    return met.select(*docs.columns, F.explode("_keys").alias("k")).select(*docs.columns, "k.*")
 
 
 # ------------------------------------------------------------------------------- routing
@@ -293,27 +301,40 @@ def keyword_pattern(key: Column) -> Column:
 
 
 def keyword_search(
-    docs: DataFrame, keys: DataFrame, on: str | None = None, context: int = 100, marker: str = P.PAGE_MARKER
+    docs: DataFrame, keys: DataFrame, on: str | None = None, context: int = 100, marker: str = P.PAGE_MARKER, limit: int = KEY_BYTES
 ) -> DataFrame:
     """All whole-word hits of each key in each document.
 
-    A hit needs the key's first word as a word of the document. Only (document, word) pairs meet
-    the keys, in an equi-join on words; the candidate keys of a document then join its text once.
-    Keys without a word character are candidates everywhere and join by template (``on``) alone.
+    A hit needs the key's first word as a word of the document. Keys of up to ``limit`` bytes come to the documents: their
+    words are cut once, and only keys whose first word is among them are looked for, in place. Of a larger key
+    table the first words fill a bit filter of fixed size, which a document's words pass before they leave its row; what
+    passes joins the keys by word, and the documents concerned join their keys once.
+    Keys without a word character are candidates everywhere.
     """
     keys = keys.select("key_id", "key_name", *([on] if on else []), F.get(words("key_name", 1), F.lit(0)).alias("word"))
     link = [on] if on else []
-    met = docs.select("doc_id", *link, F.explode(F.array_distinct(words("text", 1))).alias("word")).join(
-        keys.filter("word IS NOT NULL"), ["word", *link]
-    )
-    every = with_template_keys(docs.select("doc_id", *link), keys.filter("word IS NULL"), on)
-    asked = met.select("doc_id", "key_id", "key_name").unionByName(every.select("doc_id", "key_id", "key_name"))
-    asked = asked.groupBy("doc_id").agg(F.collect_list(F.struct("key_id", "key_name")).alias("keys"))  # bounded by the keys
+    docs = docs.select("doc_id", *link, "text")
+    size = keys.agg(F.sum(F.octet_length(F.to_json(F.struct(*keys.columns))))).first()[0] or 0
+    if size <= limit:
+        known = keys.groupBy(*link).agg(F.collect_list(F.struct("key_id", "key_name", "word")).alias("keys"))
+        known = known if on else known.withColumn("_all", F.lit(0).cast("bigint"))
+        met = (docs if on else docs.withColumn("_all", F.pmod(F.xxhash64("doc_id"), F.lit(1)))).join(F.broadcast(known), on or "_all")
+        own = F.transform("keys", lambda k: k["word"])
+        hit = let(F.array_intersect(F.array_distinct(words("text", 1)), own), lambda ws: F.filter(
+            F.col("keys"), lambda k: k["word"].isNull() | F.array_contains(ws, k["word"])))
+        asked = met.select("doc_id", "text", hit.alias("keys"))
+    else:
+        passes = first_word_filter(keys)
+        candidates = F.filter(F.array_distinct(words("text", 1)), passes)
+        met = docs.select("doc_id", *link, F.explode(candidates).alias("word")).join(keys.filter("word IS NOT NULL"), ["word", *link])
+        every = with_template_keys(docs.select("doc_id", *link), keys.filter("word IS NULL"), on, limit)
+        found = met.select("doc_id", "key_id", "key_name").unionByName(every.select("doc_id", "key_id", "key_name"))
+        asked = docs.select("doc_id", "text").join(
+            found.groupBy("doc_id").agg(F.collect_list(F.struct("key_id", "key_name")).alias("keys")), "doc_id")  # bounded by the keys
     found = (
-        docs.select("doc_id", "text").join(asked, "doc_id")
-        .withColumn("markers", marker_array("text", marker))
-        .select("doc_id", "text", "markers", F.explode("keys").alias("k"))
-        .select("doc_id", "k.*", "text", "markers", match_spans("text", keyword_pattern(F.col("k.key_name"))).alias("hits"))
+        asked.select("doc_id", "text", F.explode_outer("keys").alias("k")).filter(F.col("k").isNotNull())
+        .select("doc_id", "k.key_id", "k.key_name", "text", match_spans("text", keyword_pattern(F.col("k.key_name"))).alias("hits"))
+        .withColumn("markers", F.when(F.size("hits") > 0, marker_array("text", marker)))
         .select("doc_id", "key_id", "key_name", "text", "markers", F.posexplode_outer("hits").alias("match_idx", "m"))
         .filter(F.col("m").isNotNull())
     )
@@ -328,6 +349,23 @@ def keyword_search(
     )
 
 
+WORD_BITS = 1 << 20  # of the filter over first words, whatever the number of keys
+
+
+def first_word_filter(keys: DataFrame):
+    """Predicate on words: may a key begin with it? The filter is a literal of WORD_BITS bits."""
+    bit = keys.filter("word IS NOT NULL").select(F.pmod(F.xxhash64("word"), F.lit(WORD_BITS)).alias("bit"))
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))
+    set_bits = dict(map(tuple, bit.groupBy(F.floor(F.col("bit") / 64)).agg(F.bit_or(one)).collect()))  # at most WORD_BITS / 64 rows
+    filled = F.split(F.lit(",".join(str(set_bits.get(k, 0)) for k in range(WORD_BITS // 64))), ",").cast("array<bigint>")  # folded to one literal
+
+    def passes(word: Column) -> Column:
+        at = F.pmod(F.xxhash64(word), F.lit(WORD_BITS))
+        return F.call_function("shiftright", F.get(filled, F.floor(at / 64).cast("int")), (at % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    return passes
+
+
 # ------------------------------------------------------------------- definition candidates
 def _sentences(pages: Column, definition_pages: Column, min_chars: int, max_chars: int | None) -> Column:
     """Sentences with page and priority; definition pages first, then the rest in text order."""
@@ -356,14 +394,23 @@ def mentions(text: Column, key_words: Column) -> Column:
     return (F.size(key_words) == 0) | hit
 
 
-def best_snippets(sentences: Column, key: Column, k: int = 8, prefix: int | None = None) -> Column:
-    """Top k different sentences for a key; with ``prefix``, those that share so many first characters are one."""
+def is_heading(text: Column) -> Column:
+    """No statement: a grid, or a line without an end mark that is all upper case or has under 20 characters."""
+    return F.contains(text, F.lit(P.CELL_BORDER)) | (~text.rlike(r"[.!?:;]\s*$") & ((F.upper(text) == text) | (F.length(text) < 20)))
+
+
+def best_snippets(sentences: Column, key: Column, k: int = 8, prefix: int | None = None, headings_last: bool = False) -> Column:
+    """Top k different sentences for a key; with ``prefix``, those that share so many first characters are one.
+
+    ``headings_last``: a heading or grid that names the key comes after every sentence that mentions it.
+    """
     hits = let(words(key, 3), lambda ws: F.filter(sentences, lambda s: mentions(s["snippet"], ws)))
     scored = let(F.lower(key), lambda low_key: F.transform(hits, lambda s, i: F.struct(
+        (is_heading(s["snippet"]) if headings_last else F.lit(False)).alias("late"),
         (-(s["base"] + F.when(F.contains(F.lower(s["snippet"]), low_key), 1).otherwise(0))).alias("neg"),
         i.alias("ord"), s["page"].alias("page"), s["snippet"].alias("snippet"),
     )))
-    kept_type = "array<struct<neg:int,ord:int,page:int,snippet:string>>"
+    kept_type = "array<struct<late:boolean,neg:int,ord:int,page:int,snippet:string>>"
     start = F.struct(
         F.array().cast("array<string>").alias("seen"), F.array().cast(kept_type).alias("kept")
     )

@@ -240,6 +240,54 @@ def with_agreement_map(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"sections": sections, "definition_pages": F.array(F.lit(2))})
 
 
+# ------------------------------------------------------------------------ cascade branches
+BRANCH_KEYS = [(21, "LIBOR Loans Base Margin", "", "", "percentage"), (22, "Governing Law", "", "", "text")]
+
+
+def branch_keys(spark: SparkSession) -> DataFrame:
+    rows = [(k[0], "branches", *k[1:]) for k in BRANCH_KEYS]
+    return spark.createDataFrame(
+        rows, "key_id int, subtype string, key_name string, key_desc string, search_type string, expected_format string"
+    )
+
+
+def branch_agreements(t: Tables) -> DataFrame:
+    """Eight-page agreements with their maps; the order's number says in which place the margin stands (``variant``).
+
+    0: a table with a rule beside it. 1: a page beside a table that lacks it, with a decoy on an earlier page. 2: a page that
+    the map does not name. 3: nowhere. 4: a page that the map names, with a decoy on an earlier one.
+    """
+    facts = agreement_facts(t).withColumn("variant", F.col("doc_id") % 5)
+    v, lit = F.col("variant"), F.lit
+    means = lambda term, rate: F.concat(lit(f'"{term}" means a rate equal to '), pct(rate), lit(" per annum on the drawn amount.\n"))
+    on = lambda variant, text: F.when(v == variant, text).otherwise(lit(""))
+    rate, decoy = F.col("rate"), F.col("rate") + 700
+    grid = F.concat(
+        lit("[Table 1]\n"), grid_line("Margin Table"), lit("\n"), grid_line("Level", "Base Margin", "Peak Margin"), lit("\n"),
+        grid_line("LIBOR Loans", pct(rate), pct(rate + 50)), lit("\n"), grid_line("ABR Loans", pct(rate + 100), pct(rate + 150)), lit("\n"),
+    )
+    page = lambda n, *parts: F.concat(page_header(lit(n)), *parts, lit("\n"))
+    text = F.concat(
+        page(1, lit("The parties have met.\n\n"), on(1, means("LIBOR Loans Base Margin", decoy)), on(4, means("LIBOR Loans Base Margin", decoy))),
+        page(2, lit("The parties agree as follows.\n\n"), on(4, means("Base Margin", rate))),
+        page(3, lit("GOVERNING LAW\n\nThe Governing Law shall be that of "), F.col("segment"), lit(" for all claims.\n")),
+        page(4, lit("Left blank.\n")), page(5, lit("Left blank too.\n")),
+        page(6, F.when(v == 0, grid).otherwise(lit("The table is withheld.\n"))),
+        page(7, on(0, lit("The Base Margin for LIBOR Loans rises after a default.\n")), on(1, means("Base Margin", rate))),
+        page(8, on(2, means("LIBOR Loans Base Margin", rate)), lit("End.\n")),
+    )
+    section = lambda topic, pages, kind, kws: F.struct(
+        lit(topic).alias("topic"), F.array(*map(F.lit, pages)).alias("pages"), lit(kind).alias("type"), F.array(*map(F.lit, kws)).alias("keywords"))
+    law = section("Law and Courts", [3], "paragraph", ["governing"])
+    sections = (
+        F.when(v.isin(0, 1), F.array(section("Margin Table", [6], "table", ["libor", "base"]), law))
+        .when(v == 4, F.array(section("Margins", [2], "paragraph", ["libor", "base"]), law))
+        .otherwise(F.array(section("Margins", [1], "paragraph", ["libor", "base"]), law))
+    )
+    return materialized(facts, text).select(
+        "doc_id", "text", lit("branches").alias("subtype"), sections.alias("sections"), F.array().cast("array<int>").alias("definition_pages"))
+
+
 # ---------------------------------------------------------------------- registry and results
 def order_registry(t: Tables) -> DataFrame:
     """Orders as documents: F completed, O processing, P pending; lines are the keys."""
