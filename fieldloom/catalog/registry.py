@@ -86,18 +86,20 @@ def count_by_type(spark: SparkSession, path: str) -> DataFrame:
 
 
 def step_timings(spark: SparkSession, path: str) -> DataFrame:
-    """Users as runs, event types as steps."""
+    """Users as runs, event types as steps; a user comes back to most of them."""
     log = Tables(spark, path).events.select(
         F.col("user_id").alias("run_id"), F.col("event_type").alias("step"), F.col("ts").cast("timestamp").alias("ts")
     )
     return registry.step_timings(log, slow=36000.0).withColumns(
-        {"duration": F.round("duration", 3), "run_total": F.round("run_total", 3)}
+        {"duration": F.round("duration", 3), "run_total": F.round("run_total", 3), "started": F.unix_micros("started")}
     )
 
 
 TIMINGS_SQL = """
-WITH s AS (SELECT user_id AS run_id, event_type AS step, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS d FROM events GROUP BY ALL)
-SELECT run_id, step, round(d, 3)::DOUBLE AS duration, round(sum(d) OVER w, 3)::DOUBLE AS run_total,
+WITH e AS (SELECT user_id AS run_id, event_type AS step, ts, lag(event_type) OVER w IS DISTINCT FROM event_type AS begins FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type)),
+n AS (SELECT *, sum(begins::INT) OVER (PARTITION BY run_id ORDER BY ts, step ROWS UNBOUNDED PRECEDING) AS nth FROM e),
+s AS (SELECT run_id, step, nth, epoch_us(min(ts)) AS started, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS d FROM n GROUP BY ALL)
+SELECT run_id, step, row_number() OVER (PARTITION BY run_id, step ORDER BY nth) AS entry, started, round(d, 3)::DOUBLE AS duration, round(sum(d) OVER w, 3)::DOUBLE AS run_total,
   CASE WHEN max(d) OVER w > 0 THEN round(d * 100 / max(d) OVER w) ELSE 0 END::INT AS pct_of_max, d >= 36000 AS is_slow
 FROM s WINDOW w AS (PARTITION BY run_id)
 """
@@ -175,16 +177,24 @@ SELECT doc_id, done, total_keys, round(50 + done * 40.0::DOUBLE / total_keys, 1)
 
 
 def result_response(spark: SparkSession, path: str) -> DataFrame:
-    return registry.result_response(_reg(spark, path), _res(spark, path))
+    """Fields are shown as texts: key, name, value and where it was found."""
+    t = Tables(spark, path)
+    texts = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("text"))
+    shown = lambda f: F.concat_ws(":", f["key_id"].cast("string"), f["key_name"], f["value"], f["found_in"])
+    return registry.result_response(_reg(spark, path), _res(spark, path), texts).withColumn("fields", F.array_join(F.transform("fields", shown), ";"))
 
 
 RESPONSE_SQL = f"""
-WITH {S.REGISTRY}
-SELECT id, name, document_type, status, pipeline_step, created_at,
-  CASE WHEN status = 'completed' THEN coalesce(total_keys, 0) ELSE 0 END AS total_keys,
+WITH {S.REGISTRY}, {S.RESULTS},
+f AS (SELECT doc_id, count(*) AS n, string_agg(concat_ws(':', key_id, key_name, value, found_in), ';' ORDER BY key_id, key_name, value) AS fields FROM res GROUP BY doc_id)
+SELECT id, name, document_type, 'class ' || left(document_type, 1) AS doc_subtype, status, pipeline_step, created_at,
+  CASE WHEN status <> 'completed' THEN progress END AS progress,
+  CASE WHEN status = 'completed' THEN coalesce(n, 0) ELSE 0 END AS total_keys,
   CASE WHEN status = 'completed' THEN coalesce(avg_confidence, 0) ELSE 0 END::DOUBLE AS avg_confidence,
   CASE WHEN status = 'completed' THEN total_pages ELSE 0 END AS total_pages,
-  CASE WHEN status <> 'completed' THEN error_msg END AS error_msg FROM reg
+  CASE WHEN status <> 'completed' THEN error_msg END AS error_msg,
+  CASE WHEN status = 'completed' THEN coalesce(fields, '') ELSE '' END AS fields,
+  CASE WHEN status = 'completed' THEN 'order ' || id ELSE '' END AS ocr_text FROM reg LEFT JOIN f ON f.doc_id = id
 """
 
 

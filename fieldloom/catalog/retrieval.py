@@ -281,12 +281,23 @@ SELECT doc_id, CASE WHEN len(p) > 1 THEN substr(text, length(p[1]) + 1) ELSE tex
 
 
 def embed_snippets(spark: SparkSession, path: str) -> DataFrame:
-    """Hashed TF-IDF of every document; only shape and norm are shown."""
+    """Sparse TF-IDF of every document, and its dot product with its own first three entries."""
     docs = Tables(spark, path).documents.select("doc_id", F.col("text").alias("snippet"))
-    unit = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    return retrieval.embed_snippets(docs, dims=256).select(
-        "doc_id", F.size("embedding").alias("dims"), F.round(unit, 3).alias("norm")
-    )
+    first = retrieval.sparse_dot(F.col("indices"), F.col("weights"), F.slice("indices", 1, 3), F.slice("weights", 1, 3))
+    vectors = retrieval.embed_snippets(docs).withColumn("first_three", F.round(first, 6))
+    return vectors.select("doc_id", "indices", F.transform("weights", lambda w: F.round(w, 6)).alias("weights"), "first_three")
+
+
+EMBED_SQL = f"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '{S.WORD}+')) AS word FROM documents),
+c AS (SELECT doc_id, ('0x' || left(md5(word), 8))::BIGINT AS i, count(*) AS tf FROM w GROUP BY ALL),
+idf AS (SELECT i, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) AS idf FROM c GROUP BY i),
+x AS (SELECT doc_id, i, tf * idf AS w FROM c JOIN idf USING (i)),
+n AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM x GROUP BY doc_id),
+u AS (SELECT doc_id, i, CASE WHEN norm > 0 THEN w / norm ELSE 0 END AS u, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS nth FROM x JOIN n USING (doc_id)),
+v AS (SELECT doc_id, list(i ORDER BY i) AS indices, list(round(u, 6) ORDER BY i) AS weights, round(sum(u * u) FILTER (nth <= 3), 6) AS first_three FROM u GROUP BY doc_id)
+SELECT doc_id, coalesce(indices, []) AS indices, coalesce(weights, []) AS weights, coalesce(first_three, 0) AS first_three FROM documents LEFT JOIN v USING (doc_id)
+"""
 
 
 QUERIES = {
@@ -302,5 +313,5 @@ ORACLES = {
     "vector_topk": f"WITH {_query_sql('m', 'avg')} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM m_top WHERE rank <= 3",
     "router_decision": ROUTER_SQL, "alias_research": ALIAS_SQL, "keyword_search": KEYWORD_SQL,
     "definition_candidates": DEFINITION_SQL, "broader_search": BROADER_SQL, "validator_context": VALIDATOR_SQL,
-    "page_snippet": SNIPPET_SQL,
+    "page_snippet": SNIPPET_SQL, "embed_snippets": EMBED_SQL,
 }

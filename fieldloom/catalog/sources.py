@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog import sql as S
 from fieldloom.functions import patterns as P
-from fieldloom.operators import extractors, keys, pages, tables
+from fieldloom.operators import extractors, keys, pages, retrieval, tables
 from fieldloom.session import shared_dir
 from fieldloom.sources import bindings, corpus, sinks
 from fieldloom.sources.bindings import Tables
@@ -140,32 +140,44 @@ SELECT key_name AS "keyName", value, score, page, expected_format, true AS forma
 
 
 def persist_index(spark: SparkSession, path: str) -> DataFrame:
+    """An index saved and read back: its cells, definitions and vectors, and the vectors found nearest to each label's first one."""
     t = Tables(spark, path)
     folder = run_folder(spark, "index")
     cells = tables.oriented(tables.grid_cells(bindings.grid_documents(t)))
-    sinks.persist_index(cells, extractors.extract_definitions(bindings.agreements(t)), folder)
+    sinks.persist_index(cells, extractors.extract_definitions(bindings.agreements(t)), folder, t.embeddings)
     saved, definitions = sinks.load_index(spark, folder)
+    vectors = sinks.load_vectors(spark, folder)
+    firsts = t.embeddings.groupBy(F.col("label").cast("long").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    blank = F.lit("")
     return (
-        saved.groupBy("table_title", "row_label", "col_label", "value", "snippet")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .unionByName(definitions.groupBy(
-            F.lit("definitions").alias("table_title"), F.col("term").alias("row_label"),
-            F.col("kind").alias("col_label"), F.col("expected_format").alias("value"),
-            F.lit("").alias("snippet")).agg(F.count(F.lit(1)).alias("n")))
+        saved.select("table_title", "row_label", "col_label", "value", "snippet")
+        .unionByName(definitions.select(
+            F.lit("definitions").alias("table_title"), F.col("term").alias("row_label"), F.col("kind").alias("col_label"),
+            F.col("expected_format").alias("value"), F.col("doc_id").cast("string").alias("snippet")))
+        .unionByName(vectors.select(F.explode("ids").alias("id"), "dims").select(
+            F.lit("vectors").alias("table_title"), F.col("id").cast("string").alias("row_label"), blank.alias("col_label"),
+            F.col("dims").cast("string").alias("value"), blank.alias("snippet")))
+        .unionByName(retrieval.search_packed(vectors, firsts).select(
+            F.lit("nearest").alias("table_title"), F.col("query_id").cast("string").alias("row_label"), F.col("rank").cast("string").alias("col_label"),
+            F.col("vec_id").cast("string").alias("value"), blank.alias("snippet")))
     )
 
 
 PERSIST_SQL = f"""
 WITH {S.RATES}, {S.FACTS},
+firsts AS (SELECT label::BIGINT AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS e FROM embeddings GROUP BY label),
+near AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(e, embedding::DOUBLE[]), 12) DESC, vec_id) AS rank FROM firsts CROSS JOIN embeddings),
 c AS (SELECT 'Rates of part ' || doc_id AS table_title, row_label, 'Mean Discount' AS col_label, {S.pct('dis')} AS value FROM rates
       UNION ALL SELECT 'Rates of part ' || doc_id, row_label, 'Mean Tax', {S.pct('tax')} FROM rates)
 SELECT table_title, row_label, col_label, value,
-       table_title || ' | ' || row_label || ' | ' || col_label || ' | value: ' || value AS snippet, 1 AS n FROM c
+       table_title || ' | ' || row_label || ' | ' || col_label || ' | value: ' || value AS snippet FROM c
 UNION ALL
 SELECT table_title, row_label, col_label, value,
-       table_title || ' | ' || col_label || ' | ' || row_label || ' | value: ' || value, 1 FROM c
-UNION ALL SELECT 'definitions', 'Commitment Fee', 'definition', 'percentage', '', count(*) FROM facts
-UNION ALL SELECT 'definitions', 'Leverage Ratio', 'definition', 'ratio', '', count(*) FROM facts
+       table_title || ' | ' || col_label || ' | ' || row_label || ' | value: ' || value FROM c
+UNION ALL SELECT 'definitions', 'Commitment Fee', 'definition', 'percentage', doc_id::VARCHAR FROM facts
+UNION ALL SELECT 'definitions', 'Leverage Ratio', 'definition', 'ratio', doc_id::VARCHAR FROM facts
+UNION ALL SELECT 'vectors', vec_id::VARCHAR, '', len(embedding)::VARCHAR, '' FROM embeddings
+UNION ALL SELECT 'nearest', query_id::VARCHAR, rank::VARCHAR, vec_id::VARCHAR, '' FROM near WHERE rank <= 3
 """
 
 

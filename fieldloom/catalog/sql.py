@@ -127,3 +127,27 @@ reg AS (
   FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN lines ON lines.id = o_orderkey
 )
 """
+
+# The three pages of an agreement, as its corpus renders them.
+COVENANT = """CASE period WHEN '' THEN 'The ' ELSE 'During any ' || period || ', the ' END
+  || 'Borrower shall not permit the Leverage Ratio to be greater than ' || level || ' to 1 at the end of each quarter.'"""
+LENDER = """'LOAN NUMBER LN-' || doc_id || chr(10) || 'The lender provides ' || currency || ' ' || amount || ' in total' || chr(10)
+  || 'in support of the Borrower''s ' || segment || ' Sector Reform Program'"""
+PRICES = f"""'[Table 1]' || chr(10) || '│ Pricing Grid │' || chr(10) || '│ Level │ Base Margin │ Peak Margin │' || chr(10)
+  || '│ LIBOR Loans │ ' || {pct('rate')} || ' │ ' || {pct('rate + 50')} || ' │' || chr(10) || '│ ABR Loans │ ' || {pct('rate + 100')} || ' │ ' || {pct('rate + 150')} || ' │'"""
+_FEES = " || chr(10) || ".join(
+    f"'│ {name} │ ' || {pct(f'rate + {step}')} || ' │ ' || {pct(f'rate + {step + 1}')} || ' │ ' || replace({pct(f'rate + {step + 2}')}, '%', '') || ' │ ' || {pct(f'rate + {step + 3}')} || ' │'"
+    for name, step in (("LIBOR Loans", 0), ("ABR Loans", 100), ("Commitment Fee Rate", 200))
+)
+AGREEMENT_PAGES = f"""
+agreement_pages AS (
+  SELECT doc_id, 1 AS page, 'LOAN AGREEMENT' || chr(10) || chr(10) || 'dated as of ' || signed || chr(10) || chr(10) || 'between' || chr(10) || borrower
+    || chr(10) || 'and' || chr(10) || bank || chr(10) || '(the parties)' || chr(10) || chr(10)
+    || CASE st WHEN 'P' THEN '' ELSE borrower || ' ("Borrower") and ' || bank || ' ("Bank") agree as follows.' || chr(10) END || {LENDER} AS body FROM facts
+  UNION ALL SELECT doc_id, 2, '"Commitment Fee" means a fee equal to ' || {pct('rate + 25')} || ' per annum on the undrawn amount.' || chr(10) || chr(10)
+    || '"Leverage Ratio" means the ratio of total debt to earnings for the period.' || chr(10) || chr(10) || {COVENANT} || chr(10) || chr(10) || {PRICES} FROM facts
+  UNION ALL SELECT doc_id, 3, '[Table 2]' || chr(10) || '│ Level │ One │ Two │ Three │ Four │' || chr(10) || {_FEES} || chr(10) || chr(10)
+    || 'FOR THE BORROWER' || chr(10) || 'Name: Nadia ' || letters || chr(10) || 'Title: Minister of ' || segment || chr(10) || chr(10)
+    || 'FOR THE BANK' || chr(10) || 'By: Omar ' || letters || chr(10) || 'Title: Country Director' FROM facts
+)
+"""

@@ -83,18 +83,23 @@ def count_by_type(registry: DataFrame) -> DataFrame:
 
 
 def step_timings(log: DataFrame, slow: float = SLOW_SECONDS) -> DataFrame:
-    """``log``: run_id, step, ts (first and last entry of a step delimit it).
+    """``log``: run_id, step, ts. Neighbouring entries of one step are one interval, from the first to the last of them.
 
-    Log lines are reduced to one row per (run, step) first; the share of the slowest step is
-    then taken over those few rows per run.
+    A step that a run enters again after another one has a row for each time (``entry``, from 1) with the time of that
+    interval alone. Entries are put in order once per run; sums and shares are taken over the few intervals.
+    Entries of one time are ordered by step.
     """
-    steps = log.groupBy("run_id", "step").agg(
-        ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("duration")
+    within = W.partitionBy("run_id").orderBy("ts", "step")
+    goes_on = (F.row_number().over(within) > 1) & F.lag("step").over(within).eqNullSafe(F.col("step"))
+    begun = log.select("run_id", "step", "ts", F.when(goes_on, 0).otherwise(1).alias("begins"))
+    placed = begun.withColumn("nth", F.sum("begins").over(within.rowsBetween(W.unboundedPreceding, 0)))
+    intervals = placed.groupBy("run_id", "nth", "step").agg(
+        F.min("ts").alias("started"), ((F.unix_micros(F.max("ts")) - F.unix_micros(F.min("ts"))) / 1e6).alias("duration")
     )
     run = W.partitionBy("run_id")
     longest = F.max("duration").over(run)
-    return steps.select(
-        "run_id", "step", "duration",
+    return intervals.select(
+        "run_id", "step", F.row_number().over(W.partitionBy("run_id", "step").orderBy("nth")).alias("entry"), "started", "duration",
         F.sum("duration").over(run).alias("run_total"),
         F.when(longest > 0, F.round(F.col("duration") * 100 / longest)).otherwise(0).cast("int").alias("pct_of_max"),
         (F.col("duration") >= slow).alias("is_slow"),
@@ -218,21 +223,35 @@ def milestone(step: Column | str) -> Column:
     return formats._lookup(as_col(step), P.MILESTONES, F.lit(0.0))
 
 
-def result_response(registry: DataFrame, results: DataFrame) -> DataFrame:
-    """Registry row plus field summary; documents that are not completed get an empty shell.
+# What the response says about each field.
+RESPONSE_FIELDS = ["key_id", "key_name", "key_desc", "value", "score", "reason", "page", "expected_format", "format_valid", "found_in", "rule_context"]
 
-    ``n_fields`` and ``mean_score`` stand for the field list, which stays in its own table and
-    is read by ``doc_id``.
+
+def result_response(registry: DataFrame, results: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """Registry row, its fields in key order and its text; a document that is not completed gets an empty shell.
+
+    ``results``: doc_id and RESPONSE_FIELDS. ``texts``: doc_id, text. Only results of completed documents are
+    collected, one struct per key of the template, within each task first.
     """
     done = F.col("status") == "completed"
-    fields = results.groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("n_fields"))
-    zero = F.lit(0)
-    return registry.join(fields, "id", "left").select(
-        "id", "name", "document_type", "status", "pipeline_step", "created_at",
-        F.when(done, F.coalesce("n_fields", zero)).otherwise(zero).alias("total_keys"),
+    completed = registry.filter(done).select(F.col("id").alias("doc_id"))
+    fields = results.join(completed, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("id")).agg(
+        F.array_sort(F.collect_list(F.struct(*RESPONSE_FIELDS))).alias("found"))
+    kind = fields.schema["found"].dataType.simpleString()
+    out = registry.join(fields, "id", "left")
+    if texts is not None:
+        out = out.join(texts.join(completed, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("text").alias("ocr_text")), "id", "left")
+    else:
+        out = out.withColumn("ocr_text", F.lit(None).cast("string"))
+    subtype = F.col("doc_subtype") if "doc_subtype" in registry.columns else F.lit(None).cast("string")
+    zero, found = F.lit(0), F.coalesce("found", F.array().cast(kind))
+    return out.select(
+        "id", "name", "document_type", subtype.alias("doc_subtype"), "status", "pipeline_step", "created_at",
+        F.when(~done, F.coalesce("progress", zero)).cast("double").alias("progress"),
+        F.size(found).alias("total_keys"),
         F.when(done, F.coalesce("avg_confidence", zero)).otherwise(zero).cast("double").alias("avg_confidence"),
         F.when(done, F.coalesce("total_pages", zero)).otherwise(zero).alias("total_pages"),
-        F.when(~done, F.col("error_msg")).alias("error_msg"),
+        F.when(~done, F.col("error_msg")).alias("error_msg"), found.alias("fields"), F.coalesce("ocr_text", F.lit("")).alias("ocr_text"),
     )
 
 

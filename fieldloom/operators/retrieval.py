@@ -487,11 +487,16 @@ def page_snippet(docs: DataFrame, page: Column, chars: int | None = None) -> Dat
 
 
 # ------------------------------------------------------------------------------ embedding
-def embed_snippets(snippets: DataFrame, text: str = "snippet", model=None, dims: int = 4096) -> DataFrame:
-    """Add ``embedding`` (array of float).
+HOT_WORDS = 4096  # words of at least this part of all entries are at most so many; they are sent, the others joined
 
-    ``model`` maps a list of texts to a list of vectors and runs batch-wise on the executors.
-    Without one, hashed TF-IDF with unit length is used.
+
+def embed_snippets(snippets: DataFrame, text: str = "snippet", model=None, key: str = "doc_id") -> DataFrame:
+    """Vectors of snippets.
+
+    ``model`` maps a list of texts to a list of vectors and runs batch-wise on the executors; it adds ``embedding``.
+    Without one, TF-IDF of unit length as sparse vectors: ``key`` (which names the snippet), ``indices`` (ascending,
+    32 bits of a word's hash) and ``weights``. Texts do not move; a row per word and snippet does, and of a word that nearly
+    all snippets hold the weight comes to the rows. Snippets without words have empty vectors.
     """
     if model is not None:
         @F.pandas_udf("array<float>")
@@ -500,15 +505,87 @@ def embed_snippets(snippets: DataFrame, text: str = "snippet", model=None, dims:
 
         return snippets.withColumn("embedding", encode(F.col(text)))
 
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
-
-    stages = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+", toLowercase=True),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
-    ])
-    out = stages.fit(snippets).transform(snippets)
-    return out.withColumn("embedding", vector_to_array("_unit", "float32")).drop("_words", "_tf", "_tfidf", "_unit")
+    every = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"{WORD}+"), F.lit(0))
+    index = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("bigint")
+    counts = snippets.select(key, F.explode(every).alias("word")).groupBy(key, index.alias("index")).agg(F.count(F.lit(1)).alias("tf"))
+    total = snippets.count()
+    spread = counts.groupBy("index").agg(F.count(F.lit(1)).alias("df")).select("index", "df", F.log((F.lit(total) + 1) / (F.col("df") + 1)).alias("idf"))
+    entries = spread.agg(F.sum("df")).first()[0] or 0
+    hot = F.col("df") * HOT_WORDS >= entries
+    sent, rest = spread.filter(hot).select("index", "idf"), spread.filter(~hot).select("index", "idf")
+    weighed = counts.join(F.broadcast(sent), "index").unionByName(
+        counts.join(F.broadcast(sent.select("index")), "index", "left_anti").join(rest, "index"))
+    one = F.struct("index", (F.col("tf") * F.col("idf")).alias("w"))
+    rows = weighed.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("v"))  # bounded by a snippet's words
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
+    units = let(norm, lambda n: F.transform("v", lambda x: F.when(n > 0, x["w"] / n).otherwise(0.0)))
+    vectors = rows.select(key, F.col("v.index").alias("indices"), units.alias("weights"))
+    return snippets.select(key).join(vectors, key, "left").select(
+        key, F.coalesce("indices", F.array().cast("array<bigint>")).alias("indices"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"))
+
+
+def sparse_dot(a_indices: Column, a_weights: Column, b_indices: Column, b_weights: Column) -> Column:
+    """Dot product of two sparse vectors: the cosine of `embed_snippets` rows."""
+    def product(common: Column) -> Column:
+        at = lambda ids, ws, i: F.get(ws, (F.array_position(ids, i) - 1).cast("int"))
+        return F.aggregate(common, F.lit(0.0), lambda acc, i: acc + at(a_indices, a_weights, i) * at(b_indices, b_weights, i))
+
+    return let(F.array_intersect(a_indices, b_indices), product)
+
+
+# ---------------------------------------------------------------------------- saved vectors
+PART_VECTORS = 32_768  # in a row of the saved layout
+QUERY_BYTES = 8 << 20  # of queries that are sent at a time
+
+
+def packed_vectors(vectors: DataFrame, rows_each: int = PART_VECTORS, id_: str = "vec_id") -> DataFrame:
+    """Vectors as parts: ``part``, ``ids``, ``dims``, ``matrix`` (64-bit floats, row after row)."""
+    kept = vectors.select(F.col(id_).cast("long").alias("id"), "embedding").filter(F.col("embedding").isNotNull())
+    parts = max(1, -(-kept.count() // rows_each))
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes = {len(v) for v in rows["embedding"]}
+        if len(sizes) > 1:
+            raise ValueError(f"embeddings of different lengths: {sorted(sizes)[:5]}")
+        ordered = rows.sort_values("id")
+        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in ordered["embedding"]])
+        return pd.DataFrame({"part": [int(rows["part"].iloc[0])], "ids": [ordered["id"].tolist()], "dims": [matrix.shape[1]], "matrix": [matrix.tobytes()]})
+
+    dealt = kept.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    return dealt.groupBy("part").applyInPandas(pack, "part long, ids array<long>, dims int, matrix binary")
+
+
+def search_packed(parts: DataFrame, queries: DataFrame, k: int = 3, at_once: int = QUERY_BYTES) -> DataFrame:
+    """Exact top k by cosine over `packed_vectors`: ``query_id, rank, vec_id, score``.
+
+    The parts stay where they are read. Queries (query_id, embedding) come to them packed, ``at_once`` bytes at a time, in as
+    many rounds as they need; each part returns k rows per query, which alone are shuffled.
+    """
+    sample = queries.filter(F.col("embedding").isNotNull()).agg(F.max(F.size("embedding"))).first()[0]
+    empty = parts.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if not sample:
+        return empty
+    blocks = packed_vectors(queries, max(1, at_once // (8 * sample)), "query_id")
+    blocks = blocks.select(F.col("part").alias("block"), F.col("ids").alias("query_ids"), F.col("dims").alias("query_dims"), F.col("matrix").alias("query_matrix"))
+    top = _nearest(k)
+
+    def search(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                read = lambda ids, dims, raw: list(np.frombuffer(raw).reshape(len(ids), dims)) if dims else []
+                q = pd.DataFrame({"query_id": row.query_ids, "embedding": read(row.query_ids, row.query_dims, row.query_matrix)})
+                v = pd.DataFrame({"vec_id": row.ids, "embedding": read(row.ids, row.dims, row.matrix)})
+                yield top(q, v)
+
+    def round_of(block: int) -> DataFrame:
+        mine = blocks.filter(F.col("block") == block).withColumn("_all", F.lit(0).cast("bigint"))
+        met = parts.withColumn("_all", F.pmod(F.xxhash64("part"), F.lit(1))).join(F.broadcast(mine), "_all").drop("_all")
+        found = met.mapInPandas(search, "query_id long, vec_id long, score double")
+        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    n_blocks = max(1, -(-queries.filter(F.col("embedding").isNotNull()).count() // max(1, at_once // (8 * sample))))
+    found = round_of(0)
+    for block in range(1, n_blocks):
+        found = found.unionByName(round_of(block))
+    return found

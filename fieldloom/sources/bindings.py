@@ -305,7 +305,7 @@ def order_registry(t: Tables) -> DataFrame:
     names = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
     done = F.col("status") == "completed"
     return orders.join(names, "o_custkey").join(lines, "id", "left").select(
-        "id", "name", "document_type", "status",
+        "id", "name", "document_type", F.concat(F.lit("class "), F.substring("document_type", 1, 1)).alias("doc_subtype"), "status",
         F.when(done, "completed").when(F.col("status") == "processing", "extracting_fields").otherwise("queued")
         .alias("pipeline_step"),
         F.when(done, 100.0).otherwise(50.0).alias("progress"),

@@ -7,11 +7,10 @@ after a failure replaces its own output instead of adding to it.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from fieldloom.functions.text import as_col
 
 
 def stream_parquet(spark: SparkSession, path: str, schema, per_batch: int = 100) -> DataFrame:
@@ -53,17 +52,57 @@ def latest_status(changes: DataFrame) -> DataFrame:
     )
 
 
-def status_stream(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep one state row per document and emit the changed ones of every batch."""
-    return _write_batches(latest_status(changes), path, checkpoint, "update")
+COMPACT_EVERY = 8  # batches between two bases
 
 
-def read_status(spark: SparkSession, path: str) -> DataFrame:
-    """Newest emitted row per document."""
-    rows = spark.read.parquet(path)
+def status_stream(changes: DataFrame, path: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
+    """Keep one state row per document, write the changed ones of every batch, and merge them into a base now and then.
+
+    A batch's rows go to ``deltas/batch=N``; every ``compact_every`` batches the newest base and the deltas since make
+    ``base/upto=N``, which counts once ``ready/upto=N`` stands. A replayed batch writes the same folders again.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/deltas/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            merged = _merged(batch.sparkSession, path, before=batch_id)
+            merged.write.mode("overwrite").parquet(f"{path}/base/upto={batch_id}")
+            batch.sparkSession.range(1).write.mode("overwrite").parquet(f"{path}/ready/upto={batch_id}")
+
+    return (
+        latest_status(changes).writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).foreachBatch(save).start()
+    )
+
+
+def newest_base(spark: SparkSession, path: str, before: int | None = None) -> int:
+    """Number of the batch up to which the newest finished base (of a batch ``before`` this one) reaches, or -1."""
+    try:
+        bases = spark.read.parquet(f"{path}/ready").select(F.col("upto").cast("long").alias("upto"))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return -1
+    found = (bases if before is None else bases.filter(F.col("upto") < before)).agg(F.max("upto")).first()[0]
+    return -1 if found is None else found
+
+
+def _merged(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Newest row per document of the newest base and the deltas after it; other folders are not opened."""
+    upto = newest_base(spark, path, before)
+    deltas = spark.read.parquet(f"{path}/deltas").withColumn("batch", F.col("batch").cast("long"))
+    if before is not None:
+        deltas = deltas.filter(F.col("batch") <= before)
+    rows = deltas.filter(F.col("batch") > upto)
+    if upto >= 0:
+        rows = rows.unionByName(spark.read.parquet(f"{path}/base").filter(F.col("upto") == upto).drop("upto"))
     kept = [c for c in rows.columns if c not in ("id", "batch")]
-    newest = F.max_by(F.struct(*kept), "batch").alias("r")
-    return rows.groupBy("id").agg(newest).select("id", *[f"r.{c}" for c in kept])
+    newest = F.max_by(F.struct(*kept, "batch"), "batch").alias("r")
+    return rows.groupBy("id").agg(newest).select("id", "r.*")
+
+
+def read_status(spark: SparkSession, path: str) -> DataFrame:
+    """Newest row per document: one base and the batches since."""
+    return _merged(spark, path).drop("batch")
 
 
 def incremental_pages(pages: DataFrame, path: str, checkpoint: str, transform=lambda df: df) -> StreamingQuery:
@@ -71,16 +110,28 @@ def incremental_pages(pages: DataFrame, path: str, checkpoint: str, transform=la
     return _write_batches(transform(pages), path, checkpoint, "append")
 
 
-def dedup_uploads(
-    uploads: DataFrame, key: Column | str = "fingerprint", ts: str = "ts", delay: str = "7 days"
-) -> DataFrame:
-    """First upload per content within the watermark delay."""
+UPLOADS = "fingerprint string, doc_id long, ts timestamp"
+
+
+def dedup_uploads(uploads: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """First upload of every content, however late a copy comes. ``uploads``: fingerprint, doc_id, ts.
+
+    The fingerprints seen so far are a table: each batch keeps its first upload per content (by ts, then doc_id), leaves
+    out those that earlier batches have written, and adds the rest. A replayed batch looks at earlier batches
+    only, so it writes the same rows again. A null fingerprint is one content.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        at = F.struct("ts", "doc_id")
+        first = batch.groupBy("fingerprint").agg(F.min_by("doc_id", at).alias("doc_id"), F.min("ts").alias("ts"))
+        known = read_uploads(batch.sparkSession, path).filter(F.col("batch") < batch_id).select(F.col("fingerprint").alias("seen"))
+        fresh = first.join(known, F.col("fingerprint").eqNullSafe(F.col("seen")), "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return (
-        uploads.withColumn("fingerprint", as_col(key))
-        .withWatermark(ts, delay)
-        .dropDuplicatesWithinWatermark(["fingerprint"])
+        uploads.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(save).start()
     )
 
 
-def dedup_stream(uploads: DataFrame, path: str, checkpoint: str, **kwargs) -> StreamingQuery:
-    return _write_batches(dedup_uploads(uploads, **kwargs), path, checkpoint, "append")
+def read_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """fingerprint, doc_id, ts and the batch that brought it."""
+    return read_batches(spark, path, f"{UPLOADS}, batch long")
