@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import contamination, jaccard, mixing, pii, toxicity
+from fieldloom.llm import contamination, jaccard, mixing, pii, shared, toxicity
 from fieldloom.llm.shared import Scratch, table
 
 TOXIC = 0.5
@@ -24,19 +24,26 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of the Jaccard join: the one with the smallest doc_id.
 
-    A document without doc_id or without words links with nothing and stays. Rows that repeat a doc_id give one row.
+    A document without doc_id or without words links with nothing and stays. Rows that repeat one another completely
+    give one row; other rows of one doc_id are one document and stay or go together. Only the rows that may have to go
+    are moved.
     """
-    groups = jaccard.jaccard_components(docs, spark)
-    first = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    named = docs.filter("doc_id IS NOT NULL").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    scratch = Scratch(spark, "pipeline")
+    groups = scratch.keep(jaccard.jaccard_components(docs, spark))
+    gone = scratch.keep(groups.filter("component_id != doc_id").select("doc_id").distinct())
+    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
+    concerned = shared.may_be_in(scratch.keep(gone.unionByName(repeated).distinct()), F.col("doc_id"))
+    left = docs.filter(concerned).join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    return docs.filter(~concerned).unionByName(left.select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item; null and short texts stay."""
+    """Documents without a benchmark item; null and short texts stay. Only rows that may hold one are moved."""
     leaks = contamination.find_leaks(docs, table(spark, sf_dir, "benchmark"), spark)
-    found = leaks.select(F.col("row_hash").alias("__row")).distinct()
-    return docs.withColumn("__row", contamination.row_hash()).join(found, "__row", "left_anti").select(docs.columns)
+    found = Scratch(spark, "pipeline").keep(leaks.select(F.col("row_hash").alias("__row")).distinct())
+    concerned = shared.may_be_in(found, contamination.row_hash())
+    clean = docs.filter(concerned).withColumn("__row", contamination.row_hash()).join(found, "__row", "left_anti")
+    return docs.filter(~concerned).unionByName(clean.select(docs.columns))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +60,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that repeat one another completely are numbered on their own, so a copy number may repeat among them.
     """
     taken = mixing.mix_sources(docs, spark).filter("copies > 0").groupBy(F.col("row_hash").alias("__row")).agg(F.max("copies").alias("__copies"))
-    chosen = docs.withColumn("__row", mixing.row_hash()).join(Scratch(spark, "pipeline").keep(taken), "__row")
+    # Most rows have a part, so texts and copies meet by shuffle at any size.
+    chosen = docs.withColumn("__row", mixing.row_hash()).hint("merge").join(Scratch(spark, "pipeline").keep(taken), "__row")
     return chosen.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[c for c in docs.columns if c != "copy"], "copy")
 
 
