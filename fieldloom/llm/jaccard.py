@@ -104,7 +104,7 @@ def _packed(buckets: int):
             (b, chunk, _planes(tokens[i:j]), docs[i:j].tobytes(), hot_tokens[p:q].tobytes(), hot_n[p:q].tobytes(), None)
             for b, (i, j, p, q) in enumerate(zip(cut[:-1], cut[1:], hot_cut[:-1], hot_cut[1:])) if j > i or q > p
         ]
-        rows.append((chunk % buckets, chunk, None, None, None, None, head))
+        rows.append((int(shared.mixed(np.array([chunk], np.uint64))[0]) % buckets, chunk, None, None, None, None, head))
         types = [pa.int64(), pa.int64()] + [pa.binary()] * 5
         names = ["bucket", "chunk", "tokens", "docs", "hot", "hot_n", "head"]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
