@@ -4,13 +4,14 @@ The standard library's streaming parser hands over tags and texts; no tree is bu
 lines, each with its ratio of characters to tags. The smoothed ratios of a page are cut at a share of their spread;
 consecutive lines above it form clusters, and the innermost element that holds nearly all of the clusters' text is the
 content region. All its lines are kept, short ones too, but for those inside elements that are no article text by
-their tag, role, class or id, and for lines that are links only.
+their tag, role, class or id (inside an article only if all their words say so), and for lines that are links only.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -43,24 +44,55 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
 
+# Inside an article a class or id counts only if all its words are names or these.
+NEUTRAL = re.compile(
+    r"(?:^|[^a-z])(?:box|block|list|item|items|bar|area|section|container|wrapper|wrap|inner|outer|content|links?|buttons?|form|panel|unit|slot|"
+    r"top|bottom|left|right|side|main|site|page|post|posts|article|articles|story|stories|more|us|and|the|by|on|js|col|row)(?![a-z])"
+)
+
+
+class Region:
+    """An open or closed element that may hold the article; elements are numbered as they open."""
+
+    __slots__ = ("number", "tag", "parent", "last", "mass", "plain")
+
+    def __init__(self, number: int, tag: str, parent: Region | None):
+        self.number, self.tag, self.parent = number, tag, parent
+        self.last = math.inf  # largest number inside it, once it is closed
+        self.mass = self.plain = 0  # text of clusters in it, and its lines that are neither headings nor links
+
+    def holds(self, line: Line) -> bool:
+        return line.region is not None and self.number <= line.region.number <= self.last
+
+
 class Line:
-    __slots__ = ("text", "tags", "linked", "path", "heading")
+    __slots__ = ("text", "tags", "linked", "region", "heading", "paragraph")
 
-    def __init__(self, open_elements: list[tuple[str, int, bool]]):
+    def __init__(self, region: Region | None, heading: bool, paragraph: bool):
         self.text, self.tags, self.linked = [], 0, 0
-        self.path = [(number, tag) for tag, number, _ in open_elements if tag in REGIONS]
-        self.heading = any(tag in HEADINGS for tag, _, _ in open_elements)
+        self.region, self.heading, self.paragraph = region, heading, paragraph
 
 
 class Lines(HTMLParser):
-    """Collects the lines of a page that may be article text, with the open elements around each."""
+    """Collects the lines of a page that may be article text, with the innermost region around each.
+
+    Open elements are a stack with a count per tag, so that a page of any depth takes time in proportion to its length.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, is the text inside dropped?
+        self.open: list[tuple[str, Region | None, bool]] = []  # tag, innermost region, is the text inside dropped?
+        self.count: Counter[str] = Counter()
         self.lines: list[Line] = []
+        self.regions: list[Region] = []
         self.line: Line | None = None
-        self.made = self.links = 0
+        self.made = 0
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:  # a section of an unknown kind: skipped like a comment
+            return self.rawdata.find(">", i) + 1 or -1
 
     def _dropped(self) -> bool:
         return bool(self.open) and self.open[-1][2]
@@ -69,11 +101,16 @@ class Lines(HTMLParser):
         self.line = None
 
     def _pop(self, at: int) -> None:
-        self.links -= sum(tag == "a" for tag, _, _ in self.open[at:])
+        for tag, region, _ in self.open[at:]:
+            self.count[tag] -= 1
+            if tag in REGIONS and region is not None:
+                region.last = min(region.last, self.made)
         del self.open[at:]
 
     def _imply(self, tag: str) -> None:
         ended, walls = CLOSES.get(tag, ({"p"}, {"li", "td", "th", "div", "section", "article", "main", "blockquote", "button", "body"}))
+        if not any(self.count[t] for t in ended):
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] in ended:
                 self._pop(at)
@@ -93,25 +130,36 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         self.made += 1
-        self.links += tag == "a"
-        self.open.append((tag, self.made, self._dropped() or self._furniture(tag, dict(attrs))))
+        dropped = self._dropped() or self._furniture(tag, dict(attrs))
+        region = self.open[-1][1] if self.open else None
+        if tag in REGIONS:
+            region = Region(self.made, tag, region)
+            self.regions.append(region)
+        self.count[tag] += 1
+        self.open.append((tag, region, dropped))
 
     def _furniture(self, tag: str, attrs: dict) -> bool:
         if tag in NOT_TEXT or tag in FURNITURE:
             return True
+        inside = bool(self.count["article"] or self.count["main"])
         if tag == "header":
-            return not any(t in ("article", "main") for t, _, _ in self.open)
+            return not inside
         if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
             return True
         if tag in NEVER:
             return False
         if (attrs.get("role") or "").lower() in ROLES:
             return True
-        return bool(NAMES.search(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()
+        if not inside:
+            return bool(NAMES.search(names))
+        return any(NAMES.search(n) and not re.search("[a-z]", NEUTRAL.sub(" ", NAMES.sub(" ", NAMES.sub(" ", n)))) for n in names.split())
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
             self._break()
+        if not self.count[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 self._pop(at)
@@ -125,10 +173,10 @@ class Lines(HTMLParser):
         if self.line is None:
             if not data.strip():
                 return
-            self.line = Line(self.open)
+            self.line = Line(self.open[-1][1] if self.open else None, any(self.count[h] for h in HEADINGS), self.count["p"] > 0)
             self.lines.append(self.line)
         self.line.text.append(data)
-        if self.links:
+        if self.count["a"]:
             self.line.linked += len("".join(data.split()))
 
 
@@ -144,22 +192,30 @@ def smoothed(ratios: list[float], sigma: float = SIGMA) -> list[float]:
     return out
 
 
-def _region(mass: dict, total: int, lines: list) -> tuple[int, str] | None:
+def _region(regions: list[Region], total: int) -> Region | None:
     """The innermost article, or else the innermost element, that holds nearly all of the clusters' text.
 
-    Elements are numbered as they open, so of nested ones the innermost has the largest number. An element that
-    adds nothing but headings to the region becomes the region.
+    Of nested elements the innermost has the largest number. An element that adds nothing but headings and links to
+    the region becomes the region.
     """
-    holding = sorted(e for e, n in mass.items() if total and n >= MOST_OF * total)
-    articles = [e for e in holding if e[1] in ("article", "main")]
+    holding = [r for r in regions if total and r.mass >= MOST_OF * total]
+    articles = [r for r in holding if r.tag in ("article", "main")]
     if articles or not holding:
         return articles[-1] if articles else None
     region = holding.pop()
-    while holding and all(line.heading or linked for line, linked in lines if holding[-1] in line.path and region not in line.path):
+    while holding and holding[-1].plain == region.plain:
         region = holding.pop()
     return region
 
 
+def clusters(ratios: list[float]) -> list[bool]:
+    """Which lines belong to a cluster: their smoothed ratio reaches a share of the spread of all."""
+    level = smoothed(ratios)
+    mean = sum(level) / len(level)
+    cut = min(CUT * math.sqrt(sum((x - mean) ** 2 for x in level) / len(level)), max(level))
+    return [x >= cut for x in level]
+
+
 def main_text(html: str | None) -> str:
     """The article of a page: its blocks, blanks squeezed, joined by one space."""
     if not html:
@@ -168,21 +224,25 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     rows = [(" ".join("".join(line.text).split()), line) for line in parser.lines]
-    rows = [(text, line, line.linked >= LINKS * len("".join(text.split()))) for text, line in rows if text]
+    # A line of links is a menu entry; a paragraph that says more than its links is none.
+    rows = [(text, line, line.linked >= (1 if line.paragraph else LINKS) * len("".join(text.split()))) for text, line in rows if text]
     if not rows:
         return ""
-    level = smoothed([0.0 if linked else len(text) / (line.tags + 1) for text, line, linked in rows])
-    mean = sum(level) / len(level)
-    cut = min(CUT * math.sqrt(sum((x - mean) ** 2 for x in level) / len(level)), max(level))
-    mass: dict[tuple[int, str], int] = {}
+    chosen = clusters([0.0 if linked else len(text) / (line.tags + 1) for text, line, linked in rows])
     total = 0
-    for (text, line, linked), x in zip(rows, level):
-        if x >= cut and not linked:
+    for (text, line, linked), inside in zip(rows, chosen):
+        if inside and not linked:
             total += len(text)
-            for element in line.path:
-                mass[element] = mass.get(element, 0) + len(text)
-    region = _region(mass, total, [(line, linked) for _, line, linked in rows])
-    kept = [(text, linked) for text, line, linked in rows if region is None or region in line.path]
+            if line.region:
+                line.region.mass += len(text)
+        if line.region and not (line.heading or linked):
+            line.region.plain += 1
+    for r in reversed(parser.regions):  # every element after those inside it
+        if r.parent:
+            r.parent.mass += r.mass
+            r.parent.plain += r.plain
+    region = _region(parser.regions, total)
+    kept = [(text, linked) for text, line, linked in rows if region is None or region.holds(line)]
     if any(not linked for _, linked in kept):
         kept = [(text, linked) for text, linked in kept if not linked]
     return " ".join(text for text, _ in kept)
