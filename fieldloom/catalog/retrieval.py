@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.catalog import sql as S
+from fieldloom.catalog.sources import run_folder
 from fieldloom.functions import patterns as P
 from fieldloom.functions.text import words
 from fieldloom.operators import retrieval
@@ -166,10 +167,11 @@ ALIAS_FLOOR = 0.7
 
 
 def alias_research(spark: SparkSession, path: str) -> DataFrame:
-    """Mean vectors as first queries, maximum vectors as aliases."""
-    vectors = _vectors(spark, path)
-    own = retrieval.vector_topk(vectors, _queries(spark, path), 3)
-    other = retrieval.vector_topk(vectors, _queries(spark, path, F.max), 3)
+    """Mean vectors as first queries, maximum vectors as aliases; only weak keys are searched again."""
+    vectors, folder = _vectors(spark, path), run_folder(spark, "aliases")
+    retrieval.vector_topk(vectors, _queries(spark, path), 3).write.parquet(folder)
+    own = spark.read.parquet(folder)  # searched once, read by the choice and by the result
+    other = retrieval.vector_topk(vectors, retrieval.alias_queries(own, _queries(spark, path, F.max), ALIAS_FLOOR), 3)
     return _rounded(retrieval.alias_research(own, other, floor=ALIAS_FLOOR))
 
 

@@ -276,6 +276,12 @@ def router_decision(
     )
 
 
+def alias_queries(first: DataFrame, aliases: DataFrame, floor: float = 0.35) -> DataFrame:
+    """The alias queries worth a search: those of keys whose first result scores below ``floor``, or is missing."""
+    strong = first.groupBy("query_id").agg(F.max("score").alias("best")).filter(F.col("best") >= floor)
+    return aliases.join(strong, "query_id", "left_anti")
+
+
 def alias_research(first: DataFrame, second: DataFrame, floor: float = 0.35) -> DataFrame:
     """Alias results replace a weak first result, but only when they score higher.
 
