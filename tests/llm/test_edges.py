@@ -41,6 +41,47 @@ def test_odd_rows(spark, odd, name):
     assert len(rows) == (len(ROWS) if name in PER_ROW else 1)
 
 
+def by_id(rows, of):
+    """Values of the rows with an id, all of an id's rows together."""
+    found = {}
+    for r in rows:
+        found.setdefault(r.doc_id, set()).add(of(r))
+    return found
+
+
+def test_values_of_odd_rows(spark, odd):
+    run = lambda name: OPERATORS[name](odd, spark).collect()
+    groups = by_id(run("jaccard"), lambda r: (r.n_shingles, r.component_id))
+    assert groups[2] == {(0, 2)} and groups[3] == {(0, 3)} and groups[4] == {(0, 4)}  # null, empty and blank link with nothing
+    assert len(groups[5]) == 1 and next(iter(groups[5]))[1] == 5  # repeated rows are one document
+    assert groups[None] == {(1, None), (0, None)} and groups[7] == {(1, 7)}
+    kept = by_id(run("substrings"), lambda r: (r.text, r.n_removed > 0))
+    assert kept[2] == kept[3] == {("", False)} and kept[4] == {(" \n\t ", False)}
+    assert kept[1] == {(ROWS[0][1], False)} and len(kept[5]) == 1 and len(next(iter(kept[5]))[0]) < len(LONG)  # a text that repeats itself
+    taken = by_id(run("mixing"), lambda r: (r.size, r.taken))
+    assert taken[2] == taken[3] == taken[4] == {(0, 0)} and len(taken[5]) == 1
+    assert all(t in {k * n for k in range(4)} for rows in taken.values() for n, t in rows)
+    tokens = by_id(run("tokens"), lambda r: (r.n_words, r.n_tokens))
+    assert tokens[2] == tokens[3] == tokens[4] == {(0, 0)} and len(tokens[5]) == 1
+    notices = by_id(run("licenses"), lambda r: (r.n_words, r.n_base, tuple(r.labels)))
+    assert notices[2] == notices[3] == notices[4] == {(0, 0, ())} and notices[5] == {(45_000, 0, ())}
+    pages = {r.page_id: r.text for r in run("html")}
+    assert pages[2] == pages[3] == pages[4] == "" and pages[1] == ROWS[0][1]
+    found = by_id(run("pii"), lambda r: tuple(s.kind for s in r.pii))
+    assert found[1] == found[2] == found[3] == {()}
+    leaks = run("contamination")
+    assert [(r.doc_id, r.item_id, r.start_word) for r in leaks] == [(5, 1, 1)]
+
+
+def test_two_texts_under_one_id_are_one_document(spark):
+    rows = [(5, "a b c d e f g h"), (5, "p q r s t u v w"), (7, "a b c d e f g h"), (9, None), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = by_id(jaccard.jaccard_components(docs, spark).collect(), lambda r: r.component_id)
+    assert groups == {5: {5}, 7: {5}, 9: {9}}
+    kept = corpus_pipeline.deduplicate(spark, docs, "").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(5, "a b c d e f g h"), (5, "p q r s t u v w"), (9, None)], key=str)
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_empty_table(spark, odd, name):
     assert OPERATORS[name](odd.limit(0), spark).collect() == []
