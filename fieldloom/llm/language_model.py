@@ -9,7 +9,7 @@ How counts travel. Documents are cut into blocks of some megabytes (`token_block
 once, with its count, as packed 64-bit hashes in stripes of the hash space (`requests`); so a word that every text holds
 arrives once a block. A stripe adds up the counts and sends them back in the order they were asked for (`counted`).
 Blocks and their answers meet in a cogroup by block (`scores`). All n-grams are counted; nothing is pruned.
-Tokens and n-grams are told apart by 64-bit hashes.
+Tokens are told apart by 64-bit hashes, longer n-grams by 56 bits.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ DELETED = 25  # one training document in so many, by hash, teaches the weights
 ROUNDS = 12
 BUCKETS = 66  # bits of a count, and 0
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(mark)) for mark in (b" ", b"\n"))  # no word holds a blank
+MASK = np.uint64(~0xFF & (1 << 64) - 1)  # longer n-grams travel as 56 bits: a byte less in every request
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCK = "block long, deleted boolean, n_tokens long, n_trained long, n_docs long, doc_ids array<long>, held binary, lengths binary, words binary, tokens binary"
@@ -129,8 +130,8 @@ class Block:
     def grams(self, order: int) -> Iterator[np.ndarray]:
         """Hashes of the n-grams that end at each token, n from 1 to ``order``; texts begin with start marks."""
         keys, padding = self.tokens, START
-        for _ in range(order):
-            yield keys
+        for size in range(order):
+            yield keys & MASK if size else keys
             keys = shared.mixed(self.before(keys, padding) * _MIX + self.tokens)
             padding = shared.mixed(np.array([padding]) * _MIX + START)[0]
 
