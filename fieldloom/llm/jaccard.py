@@ -325,7 +325,7 @@ def jaccard_components(docs: DataFrame, spark: SparkSession | None = None) -> Da
     * Null, empty or blank texts have no shingles and link with nothing; their component is themselves.
     * A null doc_id names no document: the row keeps its size, its component_id is null, it links nothing.
     * Repeated rows are equal sets, hence one component; rows with one doc_id and different texts count
-      as one document that links by any of its texts.
+      as one document that links with the copies of each of its texts, and with the near copies of one of them.
     * Columns besides doc_id and text are ignored. An empty table gives an empty result.
     """
     spark = spark or docs.sparkSession
