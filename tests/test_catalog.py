@@ -16,7 +16,7 @@ QUICK = [
     "load_keys", "merge_extra_keys", "assemble_pages", "split_pages", "page_of_position", "fallback_section_map",
     "grid_cells", "stitch_cross_page", "detect_format", "route_key_to_section", "keyword_search", "vector_topk_cells",
     "alias_research", "definition_candidates", "format_check", "registry_upsert", "progress", "status_stream",
-    "extract_fields", "value_cascade", "result_row", "embed_snippets", "dedup_uploads", "step_timings", "result_response", "persist_index",
+    "extract_fields", "result_row", "embed_snippets", "dedup_uploads", "step_timings", "result_response", "persist_index",
 ]
 NATIVE = [
     "split_pages", "grid_cells", "stitch_cross_page", "definition_candidates", "route_key_to_section", "keyword_search",
