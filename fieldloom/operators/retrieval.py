@@ -30,15 +30,15 @@ def with_template_keys(docs: DataFrame, keys: DataFrame, on: str | None = "subty
     instead; the keys found for a document are collected (no more than its template has) and join it by doc_id.
     """
     # A constant would fold and turn the join into a Cartesian product.
-    link, named = on or "_all", [c for c in keys.columns if c != on]
-    with_link = docs if on else docs.withColumn(link, F.pmod(F.xxhash64("doc_id"), F.lit(1)))
-    keyed = keys if on else keys.withColumn(link, F.lit(0).cast("bigint"))
+    link, named = [*([on] if on else []), "_all"], [c for c in keys.columns if c != on]
+    with_link = docs.withColumn("_all", F.pmod(F.xxhash64("doc_id"), F.lit(1)))
+    keyed = keys.withColumn("_all", F.pmod(F.xxhash64(named[0]), F.lit(1)))
     size = keyed.agg(F.sum(F.octet_length(F.to_json(F.struct(*keyed.columns))))).first()[0] or 0
     one = F.struct(*named).alias("k")
     if size <= limit:
-        met = with_link.join(F.broadcast(keyed.groupBy(link).agg(F.collect_list(one).alias("_keys"))), link)
+        met = with_link.join(F.broadcast(keyed.groupBy(*link).agg(F.collect_list(one).alias("_keys"))), link)
     else:
-        ids = with_link.select("doc_id", link).join(keyed.select(link, one), link)
+        ids = with_link.select("doc_id", *link).join(keyed.select(*link, one), link)
         met = with_link.join(ids.groupBy("doc_id").agg(F.collect_list("k").alias("_keys")), "doc_id")
     return met.select(*docs.columns, F.explode("_keys").alias("k")).select(*docs.columns, "k.*")
 
@@ -322,9 +322,9 @@ def keyword_search(
     docs = docs.select("doc_id", *link, "text")
     size = keys.agg(F.sum(F.octet_length(F.to_json(F.struct(*keys.columns))))).first()[0] or 0
     if size <= limit:
-        known = keys.groupBy(*link).agg(F.collect_list(F.struct("key_id", "key_name", "word")).alias("keys"))
-        known = known if on else known.withColumn("_all", F.lit(0).cast("bigint"))
-        met = (docs if on else docs.withColumn("_all", F.pmod(F.xxhash64("doc_id"), F.lit(1)))).join(F.broadcast(known), on or "_all")
+        keyed = keys.withColumn("_all", F.pmod(F.xxhash64("key_id"), F.lit(1)))  # a constant would fold
+        known = keyed.groupBy(*link, "_all").agg(F.collect_list(F.struct("key_id", "key_name", "word")).alias("keys"))
+        met = docs.withColumn("_all", F.pmod(F.xxhash64("doc_id"), F.lit(1))).join(F.broadcast(known), [*link, "_all"])
         own = F.transform("keys", lambda k: k["word"])
         hit = let(F.array_intersect(F.array_distinct(words("text", 1)), own), lambda ws: F.filter(
             F.col("keys"), lambda k: k["word"].isNull() | F.array_contains(ws, k["word"])))
