@@ -511,25 +511,57 @@ def embed_snippets(snippets: DataFrame, text: str = "snippet", model=None, key:
 
         return snippets.withColumn("embedding", encode(F.col(text)))
 
-    every = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"{WORD}+"), F.lit(0))
-    index = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 8), 16, 10).cast("bigint")
-    counts = snippets.select(key, F.explode(every).alias("word")).groupBy(key, index.alias("index")).agg(F.count(F.lit(1)).alias("tf"))
+    counts = _term_counts(snippets, text, key)
     total = snippets.count()
-    spread = counts.groupBy("index").agg(F.count(F.lit(1)).alias("df")).select("index", "df", F.log((F.lit(total) + 1) / (F.col("df") + 1)).alias("idf"))
+    spread = counts.groupBy("index").agg(F.count(F.lit(1)).alias("df"))
     entries = spread.agg(F.sum("df")).first()[0] or 0
     hot = F.col("df") * HOT_WORDS >= entries
-    sent, rest = spread.filter(hot).select("index", "idf"), spread.filter(~hot).select("index", "idf")
-    weighed = counts.join(F.broadcast(sent), "index").unionByName(
+    sent, rest = spread.filter(hot), spread.filter(~hot)
+    known = counts.join(F.broadcast(sent), "index").unionByName(
         counts.join(F.broadcast(sent.select("index")), "index", "left_anti").join(rest, "index"))
-    one = F.struct("index", (F.col("tf") * F.col("idf")).alias("w"))
-    rows = weighed.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("v"))  # bounded by a snippet's words
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x["w"] * x["w"]))
-    units = let(norm, lambda n: F.transform("v", lambda x: F.when(n > 0, x["w"] / n).otherwise(0.0)))
+    # Counts travel, weights are made where they arrive: small whole numbers pack better than their logarithms.
+    rows = known.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("index", "tf", "df"))).alias("v"))  # bounded by a snippet's words
+    idf = lambda x: F.log((F.lit(total) + 1) / (x["df"] + 1))
+    norm = lambda ws: F.sqrt(F.aggregate(ws, F.lit(0.0), lambda a, w: a + w * w))
+    units = let(F.transform("v", lambda x: x["tf"] * idf(x)), lambda ws: let(
+        norm(ws), lambda n: F.transform(ws, lambda w: F.when(n > 0, w / n).otherwise(0.0))))
     vectors = rows.select(key, F.col("v.index").alias("indices"), units.alias("weights"))
     return snippets.select(key).join(vectors, key, "left").select(
         key, F.coalesce("indices", F.array().cast("array<bigint>")).alias("indices"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"))
 
 
+SENT_KEYS = 1 << 20  # keys of several rows that are sent; if there are more, the words of all rows are shuffled
+
+
+def _term_counts(snippets: DataFrame, text: str, key: str, limit: int = SENT_KEYS) -> DataFrame:
+    """``key``, index (32 bits of a word's hash), tf: counted within the row, but for keys that several rows have."""
+    every = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(f"{WORD}+"), F.lit(0))
+    index = lambda word: F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+    def runs(sorted_: Column) -> Column:
+        first = lambda i: (i == 0) | (F.get(sorted_, i) != F.get(sorted_, i - 1))
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(sorted_) - 1, F.lit(0))), first)
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(
+            F.get(sorted_, i).alias("index"), (F.coalesce(F.get(at, k + 1), F.size(sorted_)) - i).cast("bigint").alias("tf"))))
+
+    def in_rows(rows: DataFrame) -> DataFrame:
+        counted = let(F.sort_array(F.transform(every, index)), runs)
+        return rows.select(key, F.inline_outer(counted)).filter(F.col("index").isNotNull())
+
+    def grouped(rows: DataFrame) -> DataFrame:
+        return rows.select(key, F.explode(every).alias("word")).groupBy(key, index(F.col("word")).alias("index")).agg(F.count(F.lit(1)).alias("tf"))
+
+    rows = snippets.select(key, text)
+    repeated = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col(key).alias("_again"), F.lit(True).alias("_more"))
+    several = repeated.count()
+    if not several:
+        return in_rows(rows)
+    if several > limit:
+        return grouped(rows)
+    marked = rows.join(F.broadcast(repeated), F.col(key).eqNullSafe(F.col("_again")), "left")
+    return in_rows(marked.filter(F.col("_more").isNull())).unionByName(grouped(marked.filter("_more")))
+
+
 def sparse_dot(a_indices: Column, a_weights: Column, b_indices: Column, b_weights: Column) -> Column:
     """Dot product of two sparse vectors: the cosine of `embed_snippets` rows."""
     def product(common: Column) -> Column:
