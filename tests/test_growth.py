@@ -225,3 +225,81 @@ def test_every_kind_of_request_names_its_parts(spark):
     for kind, wanted in parts.items():
         got = requests.build_requests(row, kind).first()
         assert got.agent == kind and all(w in got.prompt for w in wanted), (kind, got.prompt)
+
+
+# ------------------------------------------------------------------------------ matches and parts
+def old_spans(text, pattern):
+    """The former way: gaps from ``split``, matches from ``regexp_extract_all``."""
+    return F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+
+
+@pytest.mark.parametrize("text", ["", "no", "a1b22￿c333", "￿1￾￿", "7", "𝄞5￿￿6𝄞", "1￾2"])
+def test_marks_of_the_text_itself_stay(spark, text):
+    from fieldloom.functions.text import cut, last_match_start, match_spans
+
+    pattern = "[0-9￿]￾?" if "￾" not in text else r"\d+"
+    one = spark.createDataFrame([(text,)], "t string")
+    for p in (r"\d+", pattern):
+        found = one.select(match_spans("t", p, {"g": 0}).alias("m"), last_match_start(F.col("t"), p).alias("last"), cut("t", p).alias("cut"), old_spans(F.col("t"), p).alias("old")).first()
+        if p == r"\d+":
+            starts = [m.start() for m in re.finditer(p, text)]
+            assert [(m.start, m.hit, m.g) for m in found.m] == [(s, h, h) for s, h in zip(starts, found.old.hits)]
+            assert found.last == (starts[-1] if starts else -1)
+        assert found["cut"] == found.old.gaps
+
+
+def test_first_letters_change_no_match(spark):
+    from fieldloom.functions import patterns as P
+
+    text = (
+        "FOR THE BORROWER\nName: Ann Lee\nTitle: Minister of Work\nfor the bank by: Bo Li Na\nPosition: Country Director\n'Bank' \"Borrower\" IBRD World Bank "
+        "International Bank eur 1,000 million uſd 5.00 XDR 77 JPY12 loan no. A-123 Project number XY_9 dated as of May 1, 2020 as of 1/2/2020 effective date of June 3 2021 "
+        "carry out the Rural Water Program financing of Sector Work Programme implement City Plan Program ſhall not permit the Debt Ratio to be greater than 3.5 to one; "
+        "maintains a Cover Ratio at least 1.2 to 1. will not permit Some Ratio exceed 4 to 1 or so; shall maintain Total Cover not less than 2 to 1. "
+    )
+    one = spark.createDataFrame([(text,), (text.upper(),), (text.lower(),)], "t string")
+    found = 0
+    for pattern in [P.SIGNER_NAME, P.SIGNER_TITLE, P.BORROWER_SIDE, P.BANK_SIDE, P.AMOUNT, P.REFERENCE_NUMBER, P.COVENANT, P.AGREEMENT_DATES[0], P.PROGRAMS[1]]:
+        plain = re.sub(r"\(\?=\[[^]]*\]\)", "", pattern, count=1)
+        assert plain != pattern
+        every = one.select(F.regexp_extract_all("t", F.lit(pattern), F.lit(0)).alias("a"), F.regexp_extract_all("t", F.lit(plain), F.lit(0)).alias("b")).collect()
+        assert all(r.a == r.b for r in every)
+        found += sum(len(r.a) for r in every)
+    assert found > 30
+
+
+def test_texts_are_made_in_many_tasks(spark, tmp_path):
+    from fieldloom.sources import bindings
+
+    n = spark.range(40).coalesce(1)
+    n.select(F.col("id").alias("o_orderkey"), (F.col("id") % 3).alias("o_custkey"), F.lit("F").alias("o_orderstatus"), F.lit(1234.5).alias("o_totalprice"),
+             F.lit("1-URGENT").alias("o_orderpriority"), F.lit("1995-01-02").cast("date").alias("o_orderdate")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(3).coalesce(1).select(F.col("id").alias("c_custkey"), F.lit("BUILDING").alias("c_mktsegment")).write.parquet(f"{tmp_path}/customer.parquet")
+    n.select(F.col("id").alias("l_partkey"), F.lit("A").alias("l_returnflag"), F.lit(0.05).alias("l_discount"), F.lit(0.02).alias("l_tax")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = bindings.Tables(spark, str(tmp_path))
+    for docs in (bindings.agreements(t), bindings.grid_documents(t), bindings.split_grid_documents(t)):
+        made = docs.select("doc_id", "text", F.spark_partition_id().alias("part")).collect()
+        assert sorted(r.doc_id for r in made) == list(range(40)) and len({r.part for r in made}) >= 8
+    assert bindings.html_documents(t).select(F.spark_partition_id().alias("part")).distinct().count() >= 8
+
+
+def test_results_are_packed_and_read_back(spark, tmp_path):
+    rows_ = [(k, "Rate", "d" * 50) for k in range(500)]
+    df = spark.createDataFrame(rows_, "key_id long, key_name string, debug string")
+    sinks.write_results_json(df, str(tmp_path / "packed"), "r1")
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(str(tmp_path / "packed" / "run=r1")).collect())) == rows_
+    parts = [p for p in (tmp_path / "packed").rglob("part-*")]
+    assert parts and sum(p.stat().st_size for p in parts) < 20_000
+
+
+def test_embedding_counts_words_within_rows_and_merges_repeated_keys(spark):
+    texts = [(1, "b a b"), (2, "a c"), (2, "c d c"), (None, "a e"), (None, "e"), (3, None), (4, ""), (5, "x")]
+    docs = spark.createDataFrame(texts, "doc_id long, snippet string")
+    got = sorted(map(tuple, retrieval._term_counts(docs, "snippet", "doc_id").collect()), key=str)
+    assert got == sorted(map(tuple, retrieval._term_counts(docs, "snippet", "doc_id", 0).collect()), key=str)
+    assert sorted(r[2] for r in got if r[0] == 2) == [1, 1, 3] and sorted(r[2] for r in got if r[0] is None) == [1, 2]
+    once = docs.filter("doc_id IN (1, 3, 4, 5)")
+    counts = retrieval._term_counts(once, "snippet", "doc_id")
+    assert sorted((r.doc_id, r.tf) for r in counts.collect()) == [(1, 1), (1, 2), (5, 1)]
+    assert "Exchange" not in plan(counts)
+    assert retrieval.embed_snippets(docs).count() == len(texts)
