@@ -111,6 +111,7 @@ BORROWER_SIDE = _from(r"FB(\"'", r"(?iU)\b(?:FOR THE BORROWER|BORROWER)\b|[(\"']
 BANK_SIDE = _from(r"FIW(\"'", (
     r"(?iU)\bFOR THE BANK\b|[(\"']Bank[\"')]|\bIBRD\b|\bWorld Bank\b|\bINTERNATIONAL BANK\b"
 ))
+LAST_SIDE = f"(?s).*(?:({BANK_SIDE})|(?:{BORROWER_SIDE}))"
 PARTY_LOOKBACK = 800
 PROGRAMS = [
     r"(?U)in\s+support\s+of\s+(?:the\s+)?(?:[Bb]orrower\'?s?\s+)?"

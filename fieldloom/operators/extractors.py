@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldloom.functions import patterns as P
-from fieldloom.functions.text import clip, group1, last_match_start, let, match_spans, span, squash, strip
+from fieldloom.functions.text import clip, group1, let, match_spans, span, squash, strip
 from fieldloom.operators.pages import marker_array, page_at
 
 MATCH = (
@@ -99,13 +99,13 @@ def currency_matches(text: Column, markers: Column) -> Column:
 
 
 def nearest_side(text: Column, pos: Column) -> Column:
-    """Which party's marker comes last within the look-back window; Borrower by default."""
+    """Which party's marker comes last within the look-back window; Borrower by default.
+
+    One search from the window's end: the greedy start gives way until a marker of either side follows.
+    """
     begin = F.greatest(pos - P.PARTY_LOOKBACK, F.lit(0))
-    bank_later = let(
-        span(text, begin, pos - begin),
-        lambda context: last_match_start(context, P.BANK_SIDE) > last_match_start(context, P.BORROWER_SIDE),
-    )
-    return F.when(bank_later, "Bank").otherwise("Borrower")
+    bank = F.regexp_extract(span(text, begin, pos - begin), P.LAST_SIDE, 1)
+    return F.when(bank != "", "Bank").otherwise("Borrower")
 
 
 def signer_matches(text: Column, markers: Column) -> Column:
