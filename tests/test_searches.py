@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import patterns as P
 from fieldloom.functions.text import last_match_start
 from fieldloom.operators import extractors
+from fieldloom.plans import extract
 
 
 def plan(df) -> str:
@@ -29,3 +30,17 @@ def test_side_is_found_by_one_search(spark):
     assert [r.got for r in got] == [r.want for r in got]
     assert {r.got for r in got} == {"Bank", "Borrower"}
     assert "regexp_replace" not in plan(extractors.nearest_party(docs, F.array("at")))
+
+
+def test_only_candidates_of_a_key_are_sorted(spark):
+    asked = spark.createDataFrame(
+        [(1, 1, ["rate"], "percentage", [1]), (1, 2, ["other"], "text", [1]), (2, 1, ["rate"], "percentage", [1]), (None, 1, ["rate"], "percentage", [1])],
+        "doc_id long, key_id int, key_words array<string>, format string, section_pages array<int>",
+    ).selectExpr("*", "'table' AS content_type", "array(2) AS next_pages", "CAST(NULL AS struct<page:int,snippet:string>) AS sentence")
+    cells = [(d, "cell", 0, 1, "rate", "", f"{v}%") for d in (1, None) for v in range(9, 3, -1)]
+    found = spark.createDataFrame([*cells, (1, "date", 0, 1, "rate", "", "x")], "doc_id long, source string, pos int, page int, row_label string, col_label string, value string")
+    best = extract.value_cascade(asked, found)
+    got = {(r.doc_id, r.key_id): (r.branch, r.value) for r in best.collect()}
+    assert got == {(1, 1): (1, "4%"), (1, 2): (None, None), (2, 1): (None, None), (None, 1): (None, None)}
+    below = plan(best).split("Aggregate [doc_id", 2)[1].split("Join", 1)[0]
+    assert "Filter" in below and "posexplode" in below
