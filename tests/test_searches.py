@@ -1,10 +1,12 @@
 """Each text is searched once per pattern, and only candidates are sorted."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from fieldloom.functions import patterns as P
-from fieldloom.functions.text import last_match_start
-from fieldloom.operators import extractors
+from fieldloom.functions.text import last_match_start, match_spans
+from fieldloom.operators import extractors, tables
 from fieldloom.plans import extract
 
 
@@ -44,3 +46,23 @@ def test_only_candidates_of_a_key_are_sorted(spark):
     assert got == {(1, 1): (1, "4%"), (1, 2): (None, None), (2, 1): (None, None), (None, 1): (None, None)}
     below = plan(best).split("Aggregate [doc_id", 2)[1].split("Join", 1)[0]
     assert "Filter" in below and "posexplode" in below
+
+
+def test_matches_are_sought_once(spark):
+    text = 'A\n"Commitment Fee" means a fee equal to 0.25% per annum on the undrawn amount.\n\nbetween\nALPHA CO\nand\nBETA BANK\n(x)'
+    docs = docs_of(spark, text, "nothing", None, "")
+    defined = extractors.extract_definitions(docs)
+    assert [(r.doc_id, r.term) for r in defined.collect()] == [(0, "Commitment Fee")]
+    assert "RLIKE" not in plan(extractors.find_all(docs, P.DEFINITION, {"term": 1}))
+    assert "RLIKE" not in plan(tables.known_grid(docs))
+    parties = extractors.extract_parties(docs)
+    assert {(r.name, r.role) for r in parties.collect()} == {("ALPHA CO", "Borrower"), ("BETA BANK", "Bank")}
+    assert plan(parties).count("between\\s*") == 3  # one search, and two groups read from its matches
+
+
+def test_offsets_of_few_and_many_matches(spark):
+    texts = [None, "", "none", "a1", "1a", "é𝒳1 22 b", "￿1 2￿", *("ab1" * n + "end" for n in (15, 16, 17, 200))]
+    for r in docs_of(spark, *texts).select("text", match_spans("text", r"\d+", {"v": 0}).alias("m")).collect():
+        assert (r.m is None) == (r.text is None)
+        if r.text is not None:
+            assert [(m.start, m.hit, m.v) for m in r.m] == [(m.start(), m[0], m[0]) for m in re.finditer(r"\d+", r.text)]
