@@ -2,9 +2,11 @@
 
 Windows are as long as the benchmark item they may hold. A window without one shingle of an item has similarity 0
 with it, so only pairs of a window and an item that a shared shingle lines up are made: a fixed-size bit filter over
-the benchmark's shingles tests every shingle of every document, and what passes is joined to the benchmark. Weighted
-Jaccard (shingles weigh as often as they occur) decides each of these pairs; no distance of fingerprints stands in
-for it, the SimHashes of window and item only give the Hamming distance reported. Native expressions only.
+the benchmark's shingles tests every shingle of every document, and what passes is joined to the benchmark. The windows
+so placed get SimHashes, which are sought in a multi-index of the items' SimHashes: of RADIUS + 1 blocks of bits, two
+fingerprints within RADIUS share at least one. Weighted Jaccard (shingles weigh as often as they occur) decides each
+pair found. Pairs that a shingle lines up beyond the radius are verified too, so that the index loses nothing. Native
+expressions only.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from fieldloom.llm.shared import Scratch
 WIDTH = 5
 SIMILARITY = 0.75
 BITS = 64
+RADIUS = 24  # Hamming distance within which the index finds items; beyond it, pairs lined up by a shingle are verified
 SLACK = 1  # words by which a window may lie off the line-up of a shared shingle
 FILTER_BITS = 1 << 20  # of the bit filter, whatever the benchmark's size: more items let more documents through
 PROBES = 3
@@ -74,6 +77,30 @@ def _bit_filter(index: DataFrame) -> Column:
     return F.split(F.lit(longs), ",").cast("array<bigint>")  # folded to one literal
 
 
+def blocks(sim: Column, radius: int = RADIUS) -> Column:
+    """The bits of a fingerprint as radius + 1 numbers; fingerprints within the radius agree in one at least."""
+    edges = [BITS * k // (radius + 1) for k in range(radius + 2)]
+    return F.array(*[
+        F.call_function("shiftrightunsigned", sim, F.lit(low)).bitwiseAND(F.lit((1 << (high - low)) - 1)) for low, high in zip(edges, edges[1:])
+    ])
+
+
+def hamming(a: Column, b: Column) -> Column:
+    return F.bit_count(a.bitwiseXOR(b))
+
+
+def near_items(windows: DataFrame, bench: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """row_hash, item_id, m, start: windows and items of one length within the radius, each pair once, by shared blocks."""
+    probes = windows.select("row_hash", "m", "start", "sim", blocks(F.col("sim"), radius).alias("blocks"))
+    probes = probes.select("*", F.posexplode("blocks").alias("block", "value"))
+    index = bench.select("item_id", "m", F.col("sim").alias("item_sim"), blocks(F.col("sim"), radius).alias("item_blocks"))
+    index = index.select("*", F.posexplode("item_blocks").alias("block", "value"))
+    first = F.array_position(F.zip_with("blocks", "item_blocks", lambda a, b: a == b), True) - 1  # a pair counts in its first shared block
+    return probes.join(index, ["m", "block", "value"]).filter(
+        (F.col("block") == first) & (hamming(F.col("sim"), F.col("item_sim")) <= radius)
+    ).select("row_hash", "item_id", "m", "start")
+
+
 def row_hash() -> Column:
     """What tells rows apart."""
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -125,9 +152,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, spark: SparkSession | None = N
     )
     windows = scratch.keep(windows.select("doc_id", "row_hash", "m", "start", numbered(F.col("w")).alias("bag"), simhash(F.col("w")).alias("sim")))
     items_by_id = bench.select("item_id", F.col("bag").alias("item_bag"), F.col("sim").alias("item_sim"))
-    checked = lined.join(windows, ["row_hash", "m", "start"]).join(items_by_id, "item_id").withColumn(
+    beyond = lined.join(windows.select("row_hash", "m", "start", "sim"), ["row_hash", "m", "start"]).join(
+        items_by_id.select("item_id", "item_sim"), "item_id"
+    ).filter(hamming(F.col("sim"), F.col("item_sim")) > RADIUS).select("row_hash", "item_id", "m", "start")
+    met = near_items(windows, bench).unionByName(beyond)
+    checked = met.join(windows, ["row_hash", "m", "start"]).join(items_by_id, "item_id").withColumn(
         "similarity", weighted_jaccard(F.col("bag"), F.col("item_bag"))
-    ).filter(F.col("similarity") >= SIMILARITY).withColumn("hamming", F.bit_count(F.col("sim").bitwiseXOR(F.col("item_sim"))))
+    ).filter(F.col("similarity") >= SIMILARITY).withColumn("hamming", hamming(F.col("sim"), F.col("item_sim")))
     best = F.min_by(F.struct("start", "m", "hamming", "similarity"), F.struct(-F.col("similarity"), "start", "m", "hamming"))
     return checked.groupBy("doc_id", "row_hash", "item_id").agg(best.alias("b")).select(
         "doc_id", "row_hash", "item_id", F.col("b.start").alias("start_word"), (F.col("b.m") + WIDTH - 1).alias("n_words"),

@@ -236,6 +236,30 @@ def test_leaks_with_one_edited_word_are_all_found(spark):
     assert {(r.doc_id, r.item_id, r.similarity) for r in got} == {(i, i, 0.75) for i, _ in items}
 
 
+def test_blocks_of_fingerprints_find_all_pairs_within_the_radius(spark):
+    rng = random.Random(56)
+    sims = [rng.getrandbits(64) for _ in range(12)]
+    flipped = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(64), n))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    probes = [(signed(flipped(x, n)), 7 + n % 2) for x in sims for n in (0, 1, 23, 24, 25, 26, 40, 64)]
+    windows = spark.createDataFrame([(k, m, k % 5, x) for k, (x, m) in enumerate(probes)], "row_hash long, m int, start int, sim long")
+    bench = spark.createDataFrame([(k, 7 + k % 2, signed(x)) for k, x in enumerate(sims)], "item_id long, m int, sim long")
+    got = [(r.row_hash, r.item_id) for r in contamination.near_items(windows, bench).collect()]
+    want = [(k, i) for k, (x, m) in enumerate(probes) for i, y in enumerate(sims) if m == 7 + i % 2 and ((x ^ y) & (2**64 - 1)).bit_count() <= 24]
+    assert sorted(got) == sorted(want) and len(want) > 12
+
+
+def test_leaks_come_through_the_index(spark, monkeypatch):
+    sought = []
+    near = contamination.near_items
+    monkeypatch.setattr(contamination, "near_items", lambda *a: sought.append(near(*a)) or sought[-1])
+    words = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(1, "a b " + words + " c"), (2, "nothing of it at all here")], "doc_id long, text string")
+    got = contamination.find_leaks(docs, spark.createDataFrame([(7, words)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.start_word, r.hamming, r.similarity) for r in got] == [(1, 7, 2, 0, 1.0)]
+    assert (7, 2) in {(r.item_id, r.start) for r in sought[0].collect()}
+
+
 # ------------------------------------------------------------------------------ 6
 @pytest.mark.parametrize("html, want", [
     ("<nav><a href=x>Home</a></nav><article><header><h1>Head</h1></header><p>One &amp; two<br>three.<p>Hm.</article><footer>(c)</footer>", "Head One & two three. Hm."),
