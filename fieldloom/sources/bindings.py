@@ -43,8 +43,12 @@ def page_header(n: Column) -> Column:
 
 
 def materialized(rows: DataFrame, text: Column) -> DataFrame:
-    """Add ``text``, built once per row: a generated text is long, and its readers use it often."""
-    return rows.withColumn("_text", F.array(text)).withColumn("text", F.explode("_text")).drop("_text")
+    """Add ``text``, built once per row: a generated text is long, and its readers use it often.
+
+    Inside a lambda the text is evaluated part by part. As code of the whole stage it would make one method of more than
+    8,000 bytes, which Java never compiles. An outer explode does not test the size of the array first.
+    """
+    return rows.withColumn("_text", F.transform(F.array(F.lit(0)), lambda _: text)).withColumn("text", F.explode_outer("_text")).drop("_text")
 
 
 def paged_documents(t: Tables) -> DataFrame:

@@ -8,6 +8,7 @@ from fieldloom.functions import patterns as P
 from fieldloom.functions.text import last_match_start, match_spans
 from fieldloom.operators import extractors, tables
 from fieldloom.plans import extract
+from fieldloom.sources import bindings
 
 
 def plan(df) -> str:
@@ -66,3 +67,49 @@ def test_offsets_of_few_and_many_matches(spark):
         assert (r.m is None) == (r.text is None)
         if r.text is not None:
             assert [(m.start, m.hit, m.v) for m in r.m] == [(m.start(), m[0], m[0]) for m in re.finditer(r"\d+", r.text)]
+
+
+def test_quick_patterns_match_as_the_plain_ones(spark):
+    plain = {
+        P.LOOSE_PAGE_MARKER: r"(?iU)={10,}\s*\n\s*PAGE\s+(\d+)\s*\n\s*={10,}",
+        P.AGREEMENT_DATES[0]: (r"(?iU)(?:dated\s+as\s+of|effective\s+(?:as\s+of|date(?:\s+of)?)|as\s+of|dated)\s+"
+                               r"([A-Z][a-z]+\s+\d{1,2},?\s+\d{4}|\d{1,2}[/-]\d{1,2}[/-]\d{4})"),
+        P.AGREEMENT_DATES[1]: r"(?iU)this\s+\w+(?:\s+\w+)?\s*,?\s*dated\s+([A-Z][a-z]+\s+\d{1,2},?\s+\d{4})",
+        P.NAMED_PARTY: (r"(?U)([A-Z][A-Z ,\.]{3,80}?)\s*\(\s*[*\"']\s*(?:the\s+)?"
+                        r"([A-Z][a-z]{2,}(?:\s+[A-Z][a-z]+)?)\s*[*\"']\s*\)"),
+        P.BETWEEN_PARTIES: r"(?iU)between\s*\n\s*([A-Z][A-Z\s]{3,60}?)\s*\n\s*and\s*\n\s*([A-Z][A-Z\s]{3,80})",
+        P.AMOUNT: r"(?iU)(EUR|USD|GBP|JPY|CHF|XDR)\s*(\d[\d,\.]+(?:\s*(?:million|billion))?)",
+        P.REFERENCE_NUMBER: r"(?iU)(?:LOAN|PROJECT|CONTRACT|AGREEMENT)\s+(?:NUMBER|NO\.?|#|N°)\s*([A-Z0-9][\w\-]{2,20})",
+    }
+    rule = "=" * 9
+    texts = [
+        None, "", f"{rule}\nPAGE 1\n{rule}", f"x{rule}== \n page 2\n{rule}=y{rule}=====\n\n Page ٣ \n{rule}==", "dated as of May 1, 2020 aſ of June 2 2021",
+        "DATED 1/2/2020 Effective date of 3-4-2021, effective as of July 4, 2020", "this loan agreement, dated May 1, 2020 thiſ deed dated June 2, 2020",
+        'ALPHA CO., LTD ("the Borrower") x GAMMA (\'Bank\')', "A" * 82 + '("Bank")', "A" * 78 + "    " + ' \n ("Bank")', 'ABC ("Bank")ABCD ("Big Bank")(("X")',
+        "between\nALPHA CO\nand\nBETA BANK\n BETWEEN \n alpha\nAND\nbeta", "eur 1,000 UſD 20.5 million gBp30 CHF4 XDR 12 jpy 5 billion",
+        "Loan number LN-1 PROJECT NO. AB12 contract #x_9 Agreement N°123 loan no", "𝒳 loan # 123 é AGREEMENT NUMBER 77A",
+    ]
+    docs = docs_of(spark, *texts)
+    spans = lambda p, n: match_spans("text", p, {f"g{k}": k for k in range(1, n + 1)})
+    for quick, old in plain.items():
+        groups = re.sub(r"\(\?|\\\(", "", old).count("(")
+        rows = docs.select(spans(quick, groups).alias("a"), spans(old, groups).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
+            assert any(r.a for r in rows)
+    assert P.LOOSE_PAGE_MARKER.startswith("(?U)==========(?i)")
+
+
+def test_programs_are_sought_only_where_their_words_stand(spark):
+    texts = [
+        "in support of the Borrower's Health Sector Program", "to carry out the Rural Road Programme", "the Water Supply Program for Results",
+        "financing of the Second Port Program and the Third Port Program Investment", "the Fourth Port Program", None, "", "in support of nothing",
+    ]
+    found = extractors.extract_programs(docs_of(spark, *texts))
+    assert {(r.doc_id, r.rank) for r in found.collect()} == {(0, 0), (1, 1), (2, 2), (3, 1), (3, 2)}
+    assert all(f"Contains(text#{n}, {w})" in plan(found) for n in re.findall(r"Contains\(text#(\d+)", plan(found))[:1] for w in sum(P.PROGRAM_WORDS, []))
+
+
+def test_long_texts_are_made_part_by_part_and_once(spark):
+    docs = bindings.materialized(spark.range(3), F.concat(F.lit("a"), F.when(F.col("id") > 0, F.col("id").cast("string"))))
+    assert [r.text for r in docs.orderBy("id").collect()] == [None, "a1", "a2"]
+    assert plan(docs).count("lambdafunction(concat(") + plan(docs).count("lambdafunction(CASE") >= 1 and "Filter" not in plan(docs)
