@@ -140,10 +140,14 @@ PROGRAMS = [
 ]
 # Words of which every match of the pattern holds one; a text without them is not searched.
 PROGRAM_WORDS = [["support"], ["carry", "implement", "financing"], ["Results", "Policy", "Investment"]]
+# How every match of the pattern ends; begins with a literal.
+PROGRAM_ENDS = {2: r"(?U)Program(?:me)?\s+(?:for\s+Results|Development\s+Policy|Investment)"}
 PROGRAM_SUFFIX = r"(?iU)(Program|Programme)(?:\s+for\s+Results|\s+Development\s+Policy)?"
 REFERENCE_NUMBER = _headed(["LPCA", "ORG", "AONJR"], (
     r"(?iU)(?:LOAN|PROJECT|CONTRACT|AGREEMENT)\s+(?:NUMBER|NO\.?|#|N°)\s*([A-Z0-9][\w\-]{2,20})"
 ))
+# Patterns that look at nothing outside their match: no word ends, no ends of lines or texts.
+WHOLE = {LOOSE_PAGE_MARKER, *AGREEMENT_DATES, NAMED_PARTY, AMOUNT, *PROGRAMS, REFERENCE_NUMBER}
 
 # ---- key name → value format ----------------------------------------------------------
 KEY_FORMAT_CASCADE = [

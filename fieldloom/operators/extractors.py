@@ -26,7 +26,7 @@ REPEATED = ["signer", "id"]
 
 def matches(text: Column, pattern: str, groups: dict[str, int], to_row) -> Column:
     """``to_row`` over all matches; a text without a match costs one failed search."""
-    return F.transform(match_spans(text, pattern, groups), to_row)
+    return F.transform(match_spans(text, pattern, groups, whole=pattern in P.WHOLE), to_row)
 
 
 def _row(source: str, rank: int, pos, page, title, row, col, value, suffix=None) -> Column:
@@ -120,8 +120,10 @@ def signer_matches(text: Column, markers: Column) -> Column:
 
 def program_matches(text: Column, markers: Column) -> Column:
     def of(pattern: str, rank: int) -> Column:
-        # The words are sought in the bytes, at a small part of a search's time.
-        held = F.contains(text, F.lit("Program")) & contains_any(text, P.PROGRAM_WORDS[rank])
+        # The words are sought in the bytes, at a small part of a search's time; so is an end that begins with a word.
+        held = contains_any(text, P.PROGRAM_WORDS[rank])
+        if rank in P.PROGRAM_ENDS:
+            held = text.rlike(P.PROGRAM_ENDS[rank]) & held
 
         def to_row(m: Column) -> Column:
             after = span(text, m["start"] + F.length(m["hit"]) - 1, F.lit(41))
@@ -131,7 +133,7 @@ def program_matches(text: Column, markers: Column) -> Column:
         found = F.when(held, matches(text, pattern, {"v": 1}, to_row))
         return F.filter(found, lambda r: (F.length(r["value"]) >= 5) & r["value"].rlike(r"^\p{Lu}"))
 
-    return _joined(*[of(p, i) for i, p in enumerate(P.PROGRAMS)])
+    return _joined(F.when(F.contains(text, F.lit("Program")), _joined(*[of(p, i) for i, p in enumerate(P.PROGRAMS)])))
 
 
 def id_matches(text: Column, markers: Column) -> Column:

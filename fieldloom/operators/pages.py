@@ -59,7 +59,7 @@ def split_pages(docs: DataFrame, marker: str = P.PAGE_MARKER) -> DataFrame:
 # ------------------------------------------------------------------------ page of an offset
 def marker_array(text: Column | str, marker: str = P.PAGE_MARKER) -> Column:
     """Markers in text order: ``array<struct<start, stop, page>>``."""
-    found = match_spans(text, marker, {"page": 1})
+    found = match_spans(text, marker, {"page": 1}, whole=marker in P.WHOLE)
     return F.transform(
         found,
         lambda m: F.struct(

@@ -113,3 +113,21 @@ def test_long_texts_are_made_part_by_part_and_once(spark):
     docs = bindings.materialized(spark.range(3), F.concat(F.lit("a"), F.when(F.col("id") > 0, F.col("id").cast("string"))))
     assert [r.text for r in docs.orderBy("id").collect()] == [None, "a1", "a2"]
     assert plan(docs).count("lambdafunction(concat(") + plan(docs).count("lambdafunction(CASE") >= 1 and "Filter" not in plan(docs)
+
+
+def test_few_whole_matches_are_placed_without_a_marked_text(spark):
+    rule = "=" * 12
+    loans = lambda n: "é𝒳 " + "".join(f"LOAN NO X{k % 7}0 loan # X00 x " for k in range(n))
+    texts = [
+        None, "", "none", loans(1), loans(8), loans(9), loans(200), "LOAN NUMBER LN-12 LOAN NUMBER LN-1 LOAN NUMBER LN-12", "\uffffLOAN NO AB12\uffff LOAN NO AB12",
+        f"{rule}\nPAGE 1\n{rule}" * 3 + f" {rule}=\nPAGE 2\n{rule}", "USD 10USD 10USD 100 USD 10.5", "dated May 1, 2020 as of dated May 1, 2020",
+        'ALPHA CO ("Bank") ALPHA CO x ALPHA CO ("Bank")', "in support of the Aaaaa Program in support of Aaaaa in support of Aaaaa Program",
+        "the Fifth Port Program the Fifth Port Program for Results the Fifth Port Programme\n\nInvestment",
+    ]
+    docs = docs_of(spark, *texts)
+    for p in sorted(P.WHOLE):
+        rows = docs.select(match_spans("text", p, {"v": 1}, whole=True).alias("a"), match_spans("text", p, {"v": 1}).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows]
+    marked = plan(docs.select(match_spans("text", P.REFERENCE_NUMBER, {"v": 1}, whole=True)))
+    assert "regexp_extract_all" in marked and "<= 16" in marked
+    assert "regexp_extract_all" in plan(extractors.extract_ids(docs)) and "regexp_extract_all" in plan(extractors.extract_programs(docs))
