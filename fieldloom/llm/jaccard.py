@@ -253,7 +253,9 @@ def _compare(pairs: DataFrame, slim: DataFrame, sets: DataFrame, scratch: Scratc
     for k in range(1, ORDERS):
         passes = passes & F.arrays_overlap(f"a_p{k}", f"b_p{k}")
     left = scratch.keep(both.filter(F.col("hub") | passes).select("a", "b", "hub"))
-    tokens = sets.select("doc_id", "tokens")
+    # Only the tokens of documents that are compared are moved.
+    compared = left.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    tokens = sets.select("doc_id", "tokens").filter(shared.may_be_in(scratch.keep(compared), F.col("doc_id")))
     return scratch.keep(left.join(_of(tokens, "a"), "a").join(_of(tokens, "b"), "b").mapInArrow(_common, "a long, b long, hub boolean, common int, outside array<long>"))
 
 
@@ -263,13 +265,25 @@ def _linked(compared: DataFrame, slim: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("common") >= PERCENT * (F.col("a_n") + F.col("b_n") - F.col("common"))).select("a", "b")
 
 
+def _only(rows: DataFrame, those: DataFrame) -> DataFrame:
+    """One row of each doc_id, of those whose doc_id and n are among ``those``.
+
+    Sizes are compared beside the join, not as its key: so rows meet and are made single in one shuffle by doc_id.
+    """
+    those = those.select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"))
+    met = rows.join(those, (F.col("doc_id") == F.col("_id")) & (F.col("n") <= F.col("_n")) & (F.col("n") >= F.col("_n")), "left_semi")
+    return met.dropDuplicates(["doc_id"])
+
+
 def verified_links(raw: DataFrame, kept: DataFrame, scratch: Scratch) -> DataFrame:
     """Verified links a, b between the kept documents: enough of them to connect whatever links connect."""
     slim = raw.select("doc_id", "n", (F.length("tokens") / 8).cast("int").alias("shared"), *[f"p{k}" for k in range(ORDERS)])
-    slim = scratch.keep(slim.join(kept, ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id"]))
+    slim = scratch.keep(_only(slim, kept))
     met = scratch.keep(_meetings(slim, scratch))
     members = met.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = scratch.keep(raw.join(members, "doc_id", "left_semi").join(kept, ["doc_id", "n"], "left_semi").select("doc_id", "tokens").dropDuplicates(["doc_id"]))
+    members = scratch.keep(slim.select("doc_id", "n").join(members, "doc_id", "left_semi"))
+    sets = raw.select("doc_id", "n", "tokens").filter(shared.may_be_in(members.select("doc_id"), F.col("doc_id")))
+    sets = scratch.keep(_only(sets, members).select("doc_id", "tokens"))
     compared = _compare(met, slim, sets, scratch)
     links = scratch.keep(_linked(compared, slim))
 

@@ -107,3 +107,17 @@ def test_stage(spark, odd, folder, name):
 def test_stages_are_four_or_five():
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
     assert importlib.import_module("__spark_entry__").queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_rows_are_chosen_and_made_single_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "a"), (1, 7, "b"), (2, 5, "c"), (3, 4, "d"), (4, 4, "e"), (4, 4, "e")], "doc_id long, n int, tokens string")
+    those = spark.createDataFrame([(1, 5), (3, 5), (4, 4), (4, 9)], "doc_id long, n int")
+    single = jaccard._only(rows, those)
+    assert sorted(tuple(r) for r in single.collect()) == [(1, 5, "a"), (4, 4, "e")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = jaccard._only(rows, those)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2  # the rows, and the keys that they meet
